@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import jaccard_join, packing, token_files
+from textloom.llm import jaccard_join, packing, substring, token_files
 from textloom.llm.shared import table, work_folder
 
 
@@ -23,6 +23,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_crc(pieces)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), least=50, threshold=0.8, hashes=2)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
 
@@ -30,6 +34,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

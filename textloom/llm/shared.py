@@ -83,7 +83,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """Write df to a work folder and read it again: cuts the lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = work_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,95 +1,139 @@
 """Exact ids of a `tokenizers` file, with the work of repeated words done once.
 
-A byte-level BPE tokenizer splits a text by a pattern and encodes each piece for itself, so the ids of a piece are kept.
-Texts with characters beyond U+07FF, or holding the string of an added token, go through the library whole.
+A byte-level BPE tokenizer splits a text by a pattern and encodes each piece for itself. So the ids of pieces are kept, and
+those of the chunks between white space where the pattern can't reach across it. A file that splits by the library's
+own pattern, whose merges stand in the order of their ids, is the same thing as a table of ranks; tiktoken's core then
+merges by it, and the first texts of each worker are held against the tokenizers library. Texts with characters beyond U+07FF, with
+rare white space, or holding the string of an added token go through the library whole.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
+import unicodedata
 import zlib
 
 import numpy as np
 import regex
+import tiktoken
 from tokenizers import Tokenizer
 
-#: The split patterns of the two kinds of byte-level tokenizers, fixed values of their files.
+#: The split pattern of byte-level tokenizers that bring none, a fixed value of the library.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_RARE = re.compile("[^\x00-߿]")
+#: Beyond U+07FF, a letter whose lower case depends on its place, and white space of which Python and the library differ.
+_RARE = re.compile("[^\x00-߿]|[Σ\x1c-\x1f\x85\xa0]")
+#: Texts of each encoder that both libraries encode.
+HELD_AGAINST = 20
 
 
-class _Pieces(dict):
-    """Piece to its ids as little-endian bytes; forgets all beyond `most` entries."""
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: printable Latin-1 for itself, the others counted up from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
-    def __init__(self, encode, dtype: str, most: int):
+
+class _Kept(dict):
+    """Text to what `make` gives for it; beyond `most` entries, those not used since as many were new are forgotten."""
+
+    def __init__(self, make, most: int):
         super().__init__()
-        self.encode, self.dtype, self.most = encode, dtype, most
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, text: str) -> bytes:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self[piece] = np.array(self.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        return ids
+        made = self[text] = self.old.get(text) or self.make(text)
+        return made
 
 
 class TextEncoder:
     """encode(text) gives the ids of `Tokenizer.encode(text, add_special_tokens=False)`, as an array of `dtype`."""
 
-    def __init__(self, path: str, most_pieces: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         added = [t["content"] for t in rules["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.normal = self.whole.normalizer if rules["normalizer"] else None
-        self.pattern = self._pattern(rules["pre_tokenizer"])
-        if self.pattern is not None:
-            rules["normalizer"] = None
-            self.pieces = _Pieces(Tokenizer.from_str(json.dumps(rules)).encode, self.dtype, most_pieces)
+        self.pattern, self.spaced = self._pattern(rules["pre_tokenizer"])
+        self.lower = rules["normalizer"] is not None
+        if self.lower and not self._lower_only(rules["normalizer"]) or rules["model"]["type"] != "BPE":
+            self.pattern = None
+        self.model, self.letters = self.whole.model, byte_letters()
+        self.core, self.left = (self._ranks(rules["model"]) if self.spaced and not self.lower else None), HELD_AGAINST
+        if self.spaced and self.core is None:
+            self.pattern = None
+        self.pieces, self.chunks = _Kept(self._piece, most // 2), _Kept(self._chunk, most)
 
     @staticmethod
     def _pattern(rule: dict | None):
-        """The pattern whose matches are encoded each for itself; None if this kind of file isn't known."""
-        kinds = rule and [rule, *rule.get("pretokenizers", [])]
-        if not kinds:
-            return None
-        byte_level = next((k for k in kinds if k["type"] == "ByteLevel"), None)
-        if not byte_level or byte_level["add_prefix_space"]:
-            return None
-        if rule["type"] == "ByteLevel" and byte_level["use_regex"]:
-            return regex.compile(BYTE_LEVEL_PATTERN)
+        """The pattern whose matches are encoded each for itself, None if the file's kind isn't known, and whether matches hold white space."""
+        kinds = [rule, *rule.get("pretokenizers", [])] if rule else []
+        level = next((k for k in kinds if k["type"] == "ByteLevel"), None)
+        if not level or level["add_prefix_space"]:
+            return None, False
+        if rule["type"] == "ByteLevel" and level["use_regex"]:
+            return regex.compile(BYTE_LEVEL_PATTERN), True
         split = next((k for k in kinds if k["type"] == "Split"), None)
-        if split and split["behavior"] == "Removed" and split["invert"] and not byte_level["use_regex"] and len(kinds) == 3:
-            return regex.compile(split["pattern"]["Regex"])
-        return None
+        known = split and split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and len(kinds) == 3
+        found = regex.compile(split["pattern"]["Regex"]) if known and "Regex" in split["pattern"] else None
+        return (found, False) if found and not found.search(" \n\t") and "?!" not in found.pattern and "?=" not in found.pattern else (None, False)
+
+    @staticmethod
+    def _lower_only(rule: dict) -> bool:
+        rules = rule.get("normalizers", [rule])
+        return [r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and rules[1]["pattern"] == {"Regex": "\\s+"} and rules[1]["content"] == " "
+
+    def _ranks(self, model: dict) -> tiktoken.Encoding | None:
+        """The vocabulary as ranks, if merges come in the order of the ids they make."""
+        vocab, added = model["vocab"], set(self.whole.get_added_tokens_decoder())
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [vocab["".join(m)] for m in merges]
+        if made != sorted(made) or model["end_of_word_suffix"] or model["continuing_subword_prefix"]:
+            return None
+        back = {letter: byte for byte, letter in byte_letters().items()}
+        ranks = {bytes(map(back.__getitem__, token)): k for token, k in vocab.items() if k not in added}
+        return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return self.pack(*[t.id for t in self.model.tokenize(spelt)])
+
+    def pack(self, *ids: int) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        parts = self.pattern.findall(chunk)
+        return self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
         if self.pattern is None or self.added and self.added.search(text) or _RARE.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
-        if self.normal is not None:
-            text = text.lower() if text.isascii() and self._lower_only(text) else self.normal.normalize_str(text)
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), self.dtype)
-
-    def _lower_only(self, text: str) -> bool:
-        """For ASCII: does the normalizer do no more than lower-case, as far as the pieces can show it?"""
-        kinds = getattr(self, "_kinds", None)
-        if kinds is None:
-            rule = json.loads(self.whole.to_str())["normalizer"]
-            rules = rule.get("normalizers", [rule])
-            kinds = self._kinds = all(r["type"] in ("NFC", "Lowercase") or r["type"] == "Replace" and r["pattern"] == {"Regex": "\\s+"} and r["content"] == " " for r in rules) and any(r["type"] == "Lowercase" for r in rules)
-        return kinds
+        if self.lower:
+            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
+        if self.core is not None:
+            ids = self.core.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
+            if self.left:
+                self.left -= 1
+                if ids.tolist() != self.whole.encode(text, add_special_tokens=False).ids:
+                    raise ValueError("the two libraries differ on this file")
+            return ids
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), self.dtype)
 
 
 _encoders: dict[str, TextEncoder] = {}
 
 
 def encoder(path: str) -> TextEncoder:
-    """One for each file and Python worker."""
+    """One for each Python worker, made anew when the file changes."""
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = TextEncoder(path)
