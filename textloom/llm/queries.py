@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import jaccard_join, packing, substring, token_files
+from textloom.llm import decontamination, jaccard_join, licenses, packing, substring, token_files
 from textloom.llm.shared import table, work_folder
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, folder)
@@ -32,10 +40,30 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+#: A text's words: A-Z to a-z, then what the pattern takes.
+def _sql_words(column: str) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate({column}, '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH item AS (SELECT item_id, {_sql_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT item_id, unnest(list_transform(range(0, greatest(len(w) - 9, 1)), lambda i: array_to_string(w[i + 1 : i + 10], ' '))) AS k, least(len(w), 10) AS n FROM item WHERE len(w) > 0),
+doc AS (SELECT doc_id, coalesce({_sql_words("text")}, []) AS w FROM documents),
+place AS (SELECT doc_id, len(w) AS n_words, n, unnest(range(0, len(w) - n + 1)) AS p, w FROM doc, (SELECT DISTINCT n FROM win) WHERE len(w) >= n),
+hit AS (SELECT doc_id, p, win.n, item_id FROM place JOIN win ON win.n = place.n AND win.k = array_to_string(w[p + 1 : p + place.n], ' ')),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
