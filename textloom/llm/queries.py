@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, jaccard_join, licenses, packing, substring, token_files
+from textloom.llm import bitsliced, decontamination, jaccard_join, licenses, packing, substring, token_files, warc
 from textloom.llm.shared import table, work_folder
 
 
@@ -16,6 +16,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    warc.register(spark)
+    folder = work_folder(spark, "archives")
+    warc.records_of(table(spark, sf_dir, "pages"), "page_id", 1000).write.format("warc").mode("append").save(folder)
+    found = spark.read.format("warc").option("payload", "verify").load(folder)
+    return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "bit-sliced")
+    vectors = table(spark, sf_dir, "embeddings")
+    bitsliced.build_index(vectors, folder, 256)
+    return bitsliced.search(spark, folder, vectors.where("vec_id % 50 = 0"), 5, 256)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
@@ -41,6 +56,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
+    "op4_exact_topk": op4_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op8_packing": op8_packing,
@@ -66,4 +83,16 @@ items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op2_warc": """
+WITH own AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+first AS (SELECT payload_digest, max(page_id) AS first_id FROM own WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM own LEFT JOIN first USING (payload_digest)""",
+    "op4_exact_topk": """
+WITH own AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+             WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score FROM own a JOIN own b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
