@@ -1,10 +1,12 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
 Texts of the same words are one class from the start; only one of each, its smallest doc_id, enters the bands. Band and
-row counts follow from the threshold and the recall asked for. Texts that share a band's hash are a bucket. In a bucket of
-up to SMALL texts all pairs are compared. In a larger one leaders are compared with all its texts, round after round with
-twice the leaders, till each text is a leader or has a leader similar to it; leaders are drawn anew in each bucket. So the
-pairs stay in proportion to the rows, and no text leaves a bucket without its comparison.
+row counts follow from the threshold and the recall asked for. Texts that
+share a band's hash are a bucket. In a bucket of up to SMALL texts all pairs are compared. In a larger one all are compared
+with one leader, the text that meets the most others in its buckets: of edited copies, what they were copied from. Those
+that aren't similar to a leader go on to another level, with fresh hash functions and more rows to a band, whose buckets
+hold the more similar ones of them. Pairs stay in proportion to the rows at each level, and levels end when each text
+of a large bucket is linked with its leader.
 
 Null texts and those without words are alone in their class. A text of fewer words than the n-gram is one n-gram. Rows that
 share an id are one document, in the class of either text. An empty table gives no row. Other columns are ignored.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import kept, texts_of, words_of
+from textloom.llm.shared import kept, only_keys, texts_of, words_of
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
 SMALL = 16
@@ -30,8 +32,26 @@ SMALL = 16
 
 def bands_for(threshold: float, recall: float, most: int = 96) -> tuple[int, int]:
     """Bands and rows: the most rows, so the fewest false candidates, whose bands stay within `most` hashes."""
-    fits = [(ceil(log(1 - recall) / log(1 - threshold**rows)), rows) for rows in range(1, 33)]
-    return max((x for x in fits if x[0] * x[1] <= most), key=lambda x: x[1], default=(ceil(log(1 - recall) / log(1 - threshold)), 1))
+    fits = [(bands_of(threshold, recall, rows), rows) for rows in range(1, 33)]
+    return max((x for x in fits if x[0] * x[1] <= most), key=lambda x: x[1], default=fits[0])
+
+
+def bands_of(threshold: float, recall: float, rows: int) -> int:
+    """How many bands of `rows` rows find a pair at the threshold with the recall asked for."""
+    return ceil(log(1 - recall) / log(1 - threshold**rows)) if threshold < 1 else 1
+
+
+def factors_for(bands: int, rows: int) -> np.ndarray:
+    """Odd numbers, fresh ones for each count of rows."""
+    return np.random.Generator(np.random.PCG64(rows)).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signed_again(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """id, words to id, bands."""
+    factors = factors_for(bands, rows)
+    for batch in batches:
+        found = [banded(least_hashes(np.unique(ngrams(np.frombuffer(w.as_buffer(), "<u4"), n)), factors), bands, rows) for w in batch.column(1)]
+        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "bands"])
 
 
 def least_hashes(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -51,8 +71,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, key (of the words; null without words), words (their hashes), bands (a number for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.Generator(np.random.PCG64(20240229))
-        factors = draw.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+        factors = factors_for(bands, rows)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -70,6 +89,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; words: id, words."""
+    words = only_keys(words, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint(), "id")
     loaded = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,31 +111,29 @@ def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> Da
     return loaded.select("a", "b", "wb", "wa").mapInArrow(run, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Verified links a < b, jaccard between different texts; texts: id, bands."""
-    rows = texts.select("id", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = kept(rows.join(sizes, "bucket"), "buckets")
-    few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL).select("bucket", "id")
-    pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-    waiting, found, compared, leaders_log = many, None, None, 0
+def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
+    """Verified links a < b, jaccard between different texts; texts: id, bands (of `rows` rows); words: id, words."""
+    found = compared = None
     while True:
-        draw = F.xxhash64("id", "bucket", F.lit(leaders_log))
-        leaders = waiting.groupBy("bucket", F.pmod(draw, F.lit(1 << leaders_log)).alias("group")).agg(F.min_by("id", draw).alias("leader")).select("bucket", "leader")
-        led = many.join(leaders, "bucket").where("id != leader").select("bucket", "id", "leader", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
-        now = (pairs.unionByName(led.select("a", "b")) if pairs is not None else led.select("a", "b")).distinct()
-        if compared is not None:
-            now = now.join(compared, ["a", "b"], "left_anti")
+        split = texts.select("id", F.explode("bands").alias("bucket"))
+        sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = kept(split.join(sizes, "bucket"), "buckets")
+        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+        pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
+        central = members.groupBy("id").agg(F.sum("n").alias("met"))
+        leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader"))
+        led = many.join(leaders, "bucket").where("id != leader").select("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+        now = pairs.unionByName(led.select("a", "b")).distinct()
+        now = (now if compared is None else now.join(compared, ["a", "b"], "left_anti")).checkpoint()
         good = kept(verified(now, words, n, threshold), "links")
         found = good if found is None else found.unionByName(good)
         compared = now if compared is None else compared.unionByName(now)
-        pairs = None
-        done = led.join(found.select("a", "b"), ["a", "b"], "left_semi").select("bucket", "id").unionByName(leaders.select("bucket", F.col("leader").alias("id")))
-        waiting = waiting.join(done.distinct(), ["bucket", "id"], "left_anti").checkpoint()
+        waiting = led.join(found, ["a", "b"], "left_anti").select("id").distinct().checkpoint()
         if waiting.isEmpty():
             return found
-        compared = compared.checkpoint()
-        leaders_log += 1
+        rows += 4
+        bands = bands_of(threshold, recall, rows)
+        texts = kept(only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, bands=bands, rows=rows: signed_again(batches, n, bands, rows), "id long, bands array<long>"), "texts")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -123,7 +141,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     bands, rows = bands_for(threshold, recall)
     signed = kept(signatures(docs, n, bands, rows), "signatures")
     texts = kept(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
-    links = links_of(texts.select("id", "bands"), signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "words"), n, threshold)
+    links = links_of(texts.select("id", "bands"), signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "words"), n, threshold, recall, rows)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(links).withColumnRenamed("node", "id")
     classes = texts.select("key", "id").join(ends, "id", "left").join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

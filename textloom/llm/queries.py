@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bitsliced, decontamination, jaccard_join, licenses, packing, substring, token_files, toxicity, warc
+from textloom.llm import bitsliced, decontamination, jaccard_join, language, licenses, packing, substring, token_files, toxicity, warc
 from textloom.llm.shared import table, work_folder
 
 
@@ -24,6 +24,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of("refers_to").alias("refers_to"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "pages"), language.LANGUAGES)
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "bit-sliced")
     vectors = table(spark, sf_dir, "embeddings")
@@ -62,6 +66,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
+    "op3_language_id": op3_language_id,
     "op4_exact_topk": op4_exact_topk,
     "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,

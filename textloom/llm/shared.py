@@ -87,6 +87,18 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys of eight bytes of which a broadcast takes some 64 MB in each executor.
+BROADCAST_KEYS = 2_000_000
+
+
+def only_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose `column` is among the keys (one column of that name, without repeats).
+
+    Keys are counted first: few go to where the rows are, so only rows that are needed are shuffled later; many are joined.
+    """
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, column, "left_semi")
+
+
 def file_system(uri: str):
     """pyarrow file system and path for a URI or a plain path."""
     from pyarrow import fs
