@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import kept, only_keys, texts_of, words_of
+from textloom.llm.shared import BROADCAST_KEYS, kept, only_keys, texts_of, words_of
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
-SMALL = 16
+SMALL = 32
+#: Rows that each level has more than the one before, and the most there are.
+STEEPER, STEEPEST = 8, 21
 
 
 def bands_for(threshold: float, recall: float, most: int = 96) -> tuple[int, int]:
@@ -41,14 +43,14 @@ def bands_of(threshold: float, recall: float, rows: int) -> int:
     return ceil(log(1 - recall) / log(1 - threshold**rows)) if threshold < 1 else 1
 
 
-def factors_for(bands: int, rows: int) -> np.ndarray:
-    """Odd numbers, fresh ones for each count of rows."""
-    return np.random.Generator(np.random.PCG64(rows)).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
+def factors_for(bands: int, rows: int, level: int = 0) -> np.ndarray:
+    """Odd numbers, fresh ones for each level."""
+    return np.random.Generator(np.random.PCG64(level)).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signed_again(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def signed_again(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int, level: int) -> Iterator[pa.RecordBatch]:
     """id, words to id, bands."""
-    factors = factors_for(bands, rows)
+    factors = factors_for(bands, rows, level)
     for batch in batches:
         found = [banded(least_hashes(np.unique(ngrams(np.frombuffer(w.as_buffer(), "<u4"), n)), factors), bands, rows) for w in batch.column(1)]
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "bands"])
@@ -56,7 +58,8 @@ def signed_again(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: in
 
 def least_hashes(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """The least value of each hash function x * factor over the grams, whose bits are spread already."""
-    return np.min([(grams[at : at + 2048, None] * factors).min(0) for at in range(0, len(grams), 2048)], axis=0)
+    step = max(1, (1 << 18) // len(factors))
+    return np.min([(grams[at : at + step, None] * factors).min(0) for at in range(0, len(grams), step)], axis=0)
 
 
 def banded(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -88,32 +91,37 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; words: id, words."""
-    words = only_keys(words, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint(), "id")
-    loaded = pairs.join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
+    """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; pairs is a table, words: id, words.
+
+    Both texts of a pair meet by the pair, not by a text, so a leader of many pairs is no hot key.
+    """
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
+    few = pairs.count() <= BROADCAST_KEYS // 2
+    met = words.join(F.broadcast(sides) if few else sides, "id").groupBy("a", "b").agg(F.collect_set(F.struct("id", "words")).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, None
         for batch in batches:
-            keep, values = [], []
-            ids = batch.column(0).to_pylist()
-            for k, (a, wb, wa) in enumerate(zip(ids, batch.column(2), batch.column(3), strict=True)):
-                if a != last or left is None:
-                    last, left = a, np.unique(ngrams(np.frombuffer(wa.as_buffer(), "<u4"), n))
-                right = np.unique(ngrams(np.frombuffer(wb.as_buffer(), "<u4"), n))
-                if min(len(left), len(right)) >= threshold * max(len(left), len(right)) and (j := jaccard(left, right)) >= threshold:
-                    keep.append(k)
-                    values.append(j)
-            if keep:
-                part = batch.select(["a", "b"]).take(pa.array(keep))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(values, pa.float64())], ["a", "b", "jaccard"])
-
-    return loaded.select("a", "b", "wb", "wa").mapInArrow(run, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+            out: tuple[list, list, list] = ([], [], [])
+            for a, b, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                # an id whose rows differ has several texts; the most similar ones count
+                sets = [(t["id"].as_py(), np.unique(ngrams(np.frombuffer(t["words"].as_buffer(), "<u4"), n))) for t in texts]
+                best = max((similar(x, y, threshold) for i, x in sets if i == a for k, y in sets if k == b), default=0.0)
+                if best >= threshold:
+                    for column, value in zip(out, (a, b, best), strict=True):
+                        column.append(value)
+            yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
+
+    return met.mapInArrow(run, "a long, b long, jaccard double")
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    """The Jaccard similarity, or 0 where the sizes rule out the threshold."""
+    return jaccard(a, b) if min(len(a), len(b)) >= threshold * max(len(a), len(b)) else 0.0
 
 
 def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
     """Verified links a < b, jaccard between different texts; texts: id, bands (of `rows` rows); words: id, words."""
-    found = compared = None
+    found, level = None, 0
     while True:
         split = texts.select("id", F.explode("bands").alias("bucket"))
         sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -123,17 +131,14 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recal
         central = members.groupBy("id").agg(F.sum("n").alias("met"))
         leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader"))
         led = many.join(leaders, "bucket").where("id != leader").select("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        now = pairs.unionByName(led.select("a", "b")).distinct()
-        now = (now if compared is None else now.join(compared, ["a", "b"], "left_anti")).checkpoint()
-        good = kept(verified(now, words, n, threshold), "links")
+        good = kept(verified(pairs.unionByName(led.select("a", "b")).distinct().checkpoint(), words, n, threshold), "links")
         found = good if found is None else found.unionByName(good)
-        compared = now if compared is None else compared.unionByName(now)
-        waiting = led.join(found, ["a", "b"], "left_anti").select("id").distinct().checkpoint()
+        waiting = led.join(good, ["a", "b"], "left_anti").select("id").distinct().checkpoint()
         if waiting.isEmpty():
-            return found
-        rows += 4
-        bands = bands_of(threshold, recall, rows)
-        texts = kept(only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, bands=bands, rows=rows: signed_again(batches, n, bands, rows), "id long, bands array<long>"), "texts")
+            return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+        level, rows = level + 1, min(rows + STEEPER, STEEPEST)
+        shape = bands_of(threshold, recall, rows), rows, level
+        texts = kept(only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, shape=shape: signed_again(batches, n, *shape), "id long, bands array<long>"), "texts")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:

@@ -23,24 +23,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import kept
+from textloom.llm.shared import kept, words_of
 
 #: What a sign may stand for when it isn't itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
-#: Costs of the channel, in nats: a sign for a letter, a sign that is left out, a drawn-out run made one or two letters.
-COST_SIGN, COST_DROP, COST_RUN = 1.0, 2.5, (0.2, 0.7)
+#: Costs of the channel, in nats: a sign for a letter, a digit that is one, a sign that is left out, a drawn-out run made one or two letters.
+COST_SIGN, COST_KEEP, COST_DROP, COST_RUN = 1.0, 0.7, 2.5, (0.2, 0.7)
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 SIZE = len(LETTERS) + 1
 _CODE = np.zeros(0x180, np.int64)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, SIZE)
 _SIGN = re.escape("".join(LEET))
-#: Spans to decode, in lower-case text: signs within or before letters; letters set apart; a letter three times and more.
-SUSPECT = re.compile(
-    rf"(?<![^\s.,;:])(?:[^\W\d_][ .*_-](?=[^\W_]|[{_SIGN}])|[{_SIGN}][ .*_-](?=[^\W_]|[{_SIGN}])){{3,}}[^\W_](?![^\W_])"
-    rf"|[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)+|(?<![^\s.,;:])[{_SIGN}]{{1,2}}[^\W\d_]{{2,}}[{_SIGN}]?[^\W\d_]*"
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
-)
-WORD = re.compile(r"[^\W_]+")
+#: Letters set apart by a sign or space, in lower-case text.
+APART = re.compile(rf"(?<![^\s.,;:])(?:[^\W\d_][ .*_-](?=[^\W_]|[{_SIGN}])|[{_SIGN}][ .*_-](?=[^\W_]|[{_SIGN}])){{3,}}[^\W_](?![^\W_])")
+#: What a word written to be missed holds somewhere: a sign before a letter, or a letter three times. Few words do.
+HINT = re.compile(rf"[{_SIGN}]+(?=[^\W\d_])|([^\W\d_])\1\1")
+#: Such words, or their part: signs within or before letters; a letter three times and more.
+SUSPECT = re.compile(rf"[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)+|(?<![^\s.,;:])[{_SIGN}]{{1,2}}[^\W\d_]{{2,}}[{_SIGN}]?[^\W\d_]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 PREFIXES = (4, 5)
 Model = dict[int, int]
 
@@ -105,7 +104,7 @@ class Decoder:
         for run in re.finditer(r"(.)\1*", letters, re.DOTALL):
             sign, n = run[1], len(run[0])
             if sign in LEET:
-                stands = [(x, COST_SIGN) for x in LEET[sign]] + ([(sign, 0.0)] if sign.isdigit() else [("", COST_DROP)])
+                stands = [(x, COST_SIGN) for x in LEET[sign]] + [(sign, COST_KEEP) if sign.isdigit() else ("", COST_DROP)]
                 out += [stands] * n
             elif n >= 3:
                 out.append([(sign, COST_RUN[0]), (sign * 2, COST_RUN[1])])
@@ -136,13 +135,40 @@ class Decoder:
 
     def restored(self, text: str | None) -> str:
         """The text in lower case with its suspect spans decoded."""
-        return SUSPECT.sub(lambda m: self.decoded(m[0]), text.lower()) if text else ""
-
-
-def features(text: str) -> set[str]:
-    """The words, and their first letters marked as such."""
-    words = set(WORD.findall(text))
-    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in PREFIXES))
+        if not text:
+            return ""
+        low = APART.sub(lambda m: self.decoded(m[0]), text.lower())
+        parts, at = [], 0
+        for hint in HINT.finditer(low):
+            k = hint.start()
+            if k >= at:
+                start = max(low.rfind(" ", at, k), low.rfind("\n", at, k), at - 1) + 1
+                end = min((e for e in (low.find(" ", k), low.find("\n", k)) if e >= 0), default=len(low))
+                parts += [low[at:start], SUSPECT.sub(lambda m: self.decoded(m[0]), low[start:end])]
+                at = end
+        return "".join([*parts, low[at:]]) if parts else low
+
+
+def features(text: str) -> set[bytes]:
+    """The words in UTF-8, and the first bytes of those long enough, marked as such."""
+    words = set(words_of(text.encode("utf-8", "replace")))
+    return words.union(*({w[:n] + b"*" for w in words if len(w) >= n} for n in PREFIXES))
+
+
+class Score:
+    """bias and weights; log odds of a text whose words are looked up by the sets of what has a weight."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        self.bias, self.weights = bias, {f.encode("latin-1"): w for f, w in weights.items()}
+        self.words = {f for f in self.weights if not f.endswith(b"*")}
+        self.first = {n: {f[:-1] for f in self.weights if f.endswith(b"*") and len(f) == n + 1} for n in PREFIXES}
+
+    def __call__(self, text: str) -> float:
+        words = set(words_of(text.encode("utf-8", "replace")))
+        found = [self.weights[w] for w in words & self.words]
+        for n, known in self.first.items():
+            found += [self.weights[w + b"*"] for w in {w[:n] for w in words} & known]
+        return self.bias + math.fsum(found)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -162,7 +188,7 @@ def training_features(docs: DataFrame, labels: DataFrame, counts: Model, most_ro
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [sorted(features(decoder.restored(t.as_py()))) for t in batch.column(2)]
+                found = [sorted(f.decode("latin-1") for f in features(decoder.restored(t.as_py()))) for t in batch.column(2)]
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
 
     return chosen.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<string>")
@@ -216,9 +242,9 @@ def scored(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataF
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         counts, weights, bias = sent.value
-        decoder, known = Decoder(counts), weights.keys()
+        decoder, log_odds = Decoder(counts), Score(weights, bias)
         for texts in parts:
-            sums = np.array([bias + math.fsum(weights[f] for f in features(decoder.restored(t)) & known) for t in texts], float)
+            sums = np.array([log_odds(decoder.restored(t)) for t in texts], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
 
     score = F.pandas_udf(run, "double")
