@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import BROADCAST_KEYS, kept, only_keys, texts_of, words_of
+from textloom.llm.shared import BROADCAST_KEYS, held, kept, only_keys, texts_of, words_of
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
 SMALL = 32
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; pairs is a table, words: id, words.
+    """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; pairs is held or a table, words: id, words.
 
     Both texts of a pair meet by the pair, not by a text, so a leader of many pairs is no hot key.
     """
@@ -125,15 +125,18 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recal
     while True:
         split = texts.select("id", F.explode("bands").alias("bucket"))
         sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        members = kept(split.join(sizes, "bucket"), "buckets")
+        members = held(split.join(sizes, "bucket"))
         few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
         pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
         central = members.groupBy("id").agg(F.sum("n").alias("met"))
         leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader"))
         led = many.join(leaders, "bucket").where("id != leader").select("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        good = kept(verified(pairs.unionByName(led.select("a", "b")).distinct().checkpoint(), words, n, threshold), "links")
+        pairs = held(pairs.unionByName(led.select("a", "b")).distinct())
+        good = kept(verified(pairs, words, n, threshold), "links")
         found = good if found is None else found.unionByName(good)
-        waiting = led.join(good, ["a", "b"], "left_anti").select("id").distinct().checkpoint()
+        waiting = kept(led.join(good, ["a", "b"], "left_anti").select("id").distinct(), "waiting")
+        members.unpersist()
+        pairs.unpersist()
         if waiting.isEmpty():
             return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
         level, rows = level + 1, min(rows + STEEPER, STEEPEST)

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once for its next few uses; the caller unpersists it. What a lost executor held is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 #: Keys of eight bytes of which a broadcast takes some 64 MB in each executor.
 BROADCAST_KEYS = 2_000_000
 
