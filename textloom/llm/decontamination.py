@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import kept, native_words
+from textloom.llm.shared import held, native_words
 
 SHINGLE = 3
 #: The windows' table is broadcast up to so many rows (some 200 bytes each), and joined by a shuffle beyond.
@@ -52,7 +52,7 @@ def rarest(windows: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[int], i
     wanted = _small(own.select("shingle").distinct(), n)
     counts = shingled(docs.select(native_words(F.col("text").cast("string")).alias("w")), sizes).join(wanted, "shingle").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "place", "k")
-    ranked = own.join(kept(counts, "rarity"), "shingle", "left").groupBy("words", "items").agg(F.min(order).alias("r"))
+    ranked = own.join(counts, "shingle", "left").groupBy("words", "items").agg(F.min(order).alias("r"))
     return ranked.select("words", "items", "r.shingle", "r.place"), sizes, n
 
 
@@ -63,9 +63,9 @@ def shingled(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_hit, items (sorted ids), hits (first and last word of each window found)."""
-    windows = kept(item_windows(items, size), "item-windows")
+    windows = held(item_windows(items, size))
     prefix, sizes, n = rarest(windows, docs)
-    prefix = kept(prefix, "prefixes")
+    prefix = held(prefix)
     prefix = _small(prefix.select("shingle", F.col("place").alias("before"), F.col("words").alias("window"), "items"), n)
     own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), native_words(F.col("text").cast("string")).alias("w"))
     # One more entry, whose place is the number of words, keeps documents without windows.

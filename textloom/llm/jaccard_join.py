@@ -134,21 +134,22 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recal
         pairs = held(pairs.unionByName(led.select("a", "b")).distinct())
         good = kept(verified(pairs, words, n, threshold), "links")
         found = good if found is None else found.unionByName(good)
-        waiting = kept(led.join(good, ["a", "b"], "left_anti").select("id").distinct(), "waiting")
+        waiting = held(led.join(good, ["a", "b"], "left_anti").select("id").distinct())
+        done = waiting.isEmpty()
         members.unpersist()
         pairs.unpersist()
-        if waiting.isEmpty():
+        if done:
             return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
         level, rows = level + 1, min(rows + STEEPER, STEEPEST)
         shape = bands_of(threshold, recall, rows), rows, level
-        texts = kept(only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, shape=shape: signed_again(batches, n, *shape), "id long, bands array<long>"), "texts")
+        texts = held(only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, shape=shape: signed_again(batches, n, *shape), "id long, bands array<long>"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (of its text)."""
     bands, rows = bands_for(threshold, recall)
     signed = kept(signatures(docs, n, bands, rows), "signatures")
-    texts = kept(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
+    texts = held(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
     links = links_of(texts.select("id", "bands"), signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "words"), n, threshold, recall, rows)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(links).withColumnRenamed("node", "id")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import kept
-from textloom.llm.tokens import encoder
+from textloom.llm.tokens import encoder, vocabulary_size
 
 TOKENS = "part long, doc_id long, local_start long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -57,7 +57,7 @@ def _token_batch(part: int, rows: tuple[list, list, list]) -> pa.RecordBatch:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024) -> DataFrame:
     """One row a piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
-    width = 2 if encoder(tokenizer).size <= 1 << 16 else 4
+    width = 2 if vocabulary_size(tokenizer) <= 1 << 16 else 4
     stream = kept(tokenized(docs, tokenizer, end_id), "packing")
     # One row for each partition of the input, however large that is.
     totals = sorted(stream.groupBy("part").agg(F.sum(F.octet_length("ids") / width).cast("long")).collect())

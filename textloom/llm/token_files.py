@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import file_system
-from textloom.llm.tokens import encoder
+from textloom.llm.tokens import encoder, vocabulary_size
 
 MAGIC = b"TLIDS001"
 BLOCK = 1 << 14
@@ -130,7 +130,7 @@ class Reader:
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFrame:
     """Write the documents' ids under `folder`; returns the manifest, a row for each file, which is kept there too."""
-    bits = bits_for(encoder(tokenizer).size)
+    bits = bits_for(vocabulary_size(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(tokenizer), TaskContext.get().partitionId()

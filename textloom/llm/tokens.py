@@ -129,6 +129,13 @@ class TextEncoder:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), self.dtype)
 
 
+def vocabulary_size(path: str) -> int:
+    """How many ids the file has, added tokens included."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    return max(max(rules["model"]["vocab"].values()), *(t["id"] for t in rules["added_tokens"]), 0) + 1
+
+
 _encoders: dict[str, TextEncoder] = {}
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import kept, words_of
+from textloom.llm.shared import held, words_of
 
 #: What a sign may stand for when it isn't itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -39,7 +39,7 @@ APART = re.compile(rf"(?<![^\s.,;:])(?:[^\W\d_][ .*_-](?=[^\W_]|[{_SIGN}])|[{_SI
 #: What a word written to be missed holds somewhere: a sign before a letter, or a letter three times. Few words do.
 HINT = re.compile(rf"[{_SIGN}]+(?=[^\W\d_])|([^\W\d_])\1\1")
 #: Such words, or their part: signs within or before letters; a letter three times and more.
-SUSPECT = re.compile(rf"[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)+|(?<![^\s.,;:])[{_SIGN}]{{1,2}}[^\W\d_]{{2,}}[{_SIGN}]?[^\W\d_]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+SUSPECT = re.compile(rf"(?:(?<![^\s.,;:])[{_SIGN}]{{1,2}})?[^\W\d_]+(?:[{_SIGN}]+[^\W\d_]+)+|(?<![^\s.,;:])[{_SIGN}]{{1,2}}[^\W\d_]{{2,}}[{_SIGN}]?[^\W\d_]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 PREFIXES = (4, 5)
 Model = dict[int, int]
 
@@ -237,7 +237,8 @@ def logistic(rows: list[list[int]], y: np.ndarray, size: int, rounds: int = 300,
 def scored(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """A row for each row of docs: its columns, held_out, score, predicted."""
     counts = trigram_counts(docs)
-    weights, bias = fitted(kept(training_features(docs, labels, counts, most_rows), "toxicity"))
+    weights, bias = fitted(rows := held(training_features(docs, labels, counts, most_rows)))
+    rows.unpersist()
     sent = docs.sparkSession.sparkContext.broadcast((counts, weights, bias))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
