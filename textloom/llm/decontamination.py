@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import held, native_words
+from textloom.llm.shared import checkpoint_folder, native_words
 
 SHINGLE = 3
 #: The windows' table is broadcast up to so many rows (some 200 bytes each), and joined by a shuffle beyond.
@@ -63,9 +63,10 @@ def shingled(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, n_hit, items (sorted ids), hits (first and last word of each window found)."""
-    windows = held(item_windows(items, size))
+    checkpoint_folder(docs.sparkSession)
+    windows = item_windows(items, size).checkpoint()
     prefix, sizes, n = rarest(windows, docs)
-    prefix = held(prefix)
+    prefix = prefix.checkpoint()
     prefix = _small(prefix.select("shingle", F.col("place").alias("before"), F.col("words").alias("window"), "items"), n)
     own = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), native_words(F.col("text").cast("string")).alias("w"))
     # One more entry, whose place is the number of words, keeps documents without windows.

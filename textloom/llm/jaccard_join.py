@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; pairs is held or a table, words: id, words.
+    """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; pairs is a checkpoint or a table, words: id, words.
 
     Both texts of a pair meet by the pair, not by a text, so a leader of many pairs is no hot key.
     """
@@ -131,25 +131,24 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recal
         central = members.groupBy("id").agg(F.sum("n").alias("met"))
         leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader"))
         led = many.join(leaders, "bucket").where("id != leader").select("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = held(pairs.unionByName(led.select("a", "b")).distinct())
-        good = kept(verified(pairs, words, n, threshold), "links")
+        pairs = pairs.unionByName(led.select("a", "b")).distinct().checkpoint()
+        good = verified(pairs, words, n, threshold).checkpoint()
         found = good if found is None else found.unionByName(good)
-        waiting = held(led.join(good, ["a", "b"], "left_anti").select("id").distinct())
+        waiting = led.join(good, ["a", "b"], "left_anti").select("id").distinct().checkpoint()
         done = waiting.isEmpty()
         members.unpersist()
-        pairs.unpersist()
         if done:
             return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
         level, rows = level + 1, min(rows + STEEPER, STEEPEST)
         shape = bands_of(threshold, recall, rows), rows, level
-        texts = held(only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, shape=shape: signed_again(batches, n, *shape), "id long, bands array<long>"))
+        texts = only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, shape=shape: signed_again(batches, n, *shape), "id long, bands array<long>").checkpoint()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (of its text)."""
     bands, rows = bands_for(threshold, recall)
     signed = kept(signatures(docs, n, bands, rows), "signatures")
-    texts = held(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")))
+    texts = kept(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
     links = links_of(texts.select("id", "bands"), signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "words"), n, threshold, recall, rows)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     labels = components(links).withColumnRenamed("node", "id")

@@ -61,18 +61,19 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
-
-    Where that setting is absent (tests on one machine), a folder of the driver is set as checkpoint folder first.
-    """
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that setting is absent (tests on one machine), a folder of the driver, set here."""
     top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not given.isDefined():
+        spark.sparkContext.setCheckpointDir(top or "file://" + tempfile.mkdtemp(prefix="textloom-"))
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if not given.isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
-            given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = given.get()
+    return top or given.get()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver ends."""
+    top = checkpoint_folder(spark)
     path = f"{top.rstrip('/')}/textloom-{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
