@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import blocks, layout, reports
+from textloom.functions import vocabulary as V
+from textloom.operators import blocks, formulas, layout, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -349,5 +350,60 @@ def src23_ttl_cache(spark, sf_dir):
     return events.select("event_id", (F.col("before").isNotNull() & (F.col("ts") - F.col("before") <= F.expr("INTERVAL 3600 SECONDS"))).alias("hit"))
 
 
+# ---- formulas: made of the numbers of parts and lines ----
+
+
+def equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """expr_id, source: a quadratic, a fraction, a quantity or a set, by the part's key."""
+    n, m, k = F.col("p_size"), F.floor("p_retailprice").cast("int"), F.col("p_partkey") % 5
+    source = F.when(k == 0, F.format_string("%dx² - %dx + 1 = 0", n, m)).when(k == 1, F.format_string("y = \\frac{%d + \\sqrt{%d}}{2a}", n, m)).when(k == 2, F.format_string("v = %d m/s", n)).when(k == 3, F.format_string("%d ∈ {1, 2, %d}", n, m)).otherwise(F.format_string("f(x) = %d(x + 1)(x - %d", n, m))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expr_id"), source.alias("source"))
+
+
+@query("exp42_formulas")
+def exp42_formulas(spark, sf_dir):
+    return formulas.processed(equations(spark, sf_dir), "source").select("expr_id", "source", "formula.*")
+
+
+@query("exp29_tree_nodes")
+def exp29_tree_nodes(spark, sf_dir):
+    return formulas.tree_nodes(exp42_formulas(spark, sf_dir), "expr_id")
+
+
+@query("agg16_formula_metrics")
+def agg16_formula_metrics(spark, sf_dir):
+    return formulas.metrics(exp42_formulas(spark, sf_dir))
+
+
+@query("agg11_formula_index")
+def agg11_formula_index(spark, sf_dir):
+    return formulas.occurrences_that_differ(exp42_formulas(spark, sf_dir))
+
+
+@query("exp2_segments")
+def exp2_segments(spark, sf_dir):
+    return formulas.segmented(blocks.lines_of(documents(spark, sf_dir)), ["doc_id", "line_no"], "line")
+
+
+_WORDS_SQL = "ones AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{w}')" for k, w in enumerate(V.SMALL)) + ") t(n, w)), tens AS (SELECT * FROM (VALUES " + ", ".join(f"({k + 2}, '{w}')" for k, w in enumerate(V.TENS)) + ") t(n, w)), low AS (SELECT p_size AS n, CASE WHEN p_size < 20 THEN o.w WHEN p_size % 10 = 0 THEN t.w ELSE t.w || ' e ' || u.w END AS words, p_partkey FROM part LEFT JOIN ones o ON o.n = p_size LEFT JOIN tens t ON t.n = p_size // 10 LEFT JOIN ones u ON u.n = p_size % 10)"
+
+
+@query("voc1_number_words", f"WITH {_WORDS_SQL} SELECT p_partkey, words FROM low")
+def voc1_number_words(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", formulas.number_words()("p_size").alias("words"))
+
+
+@query("voc4_text_in_words")
+def voc4_text_in_words(spark, sf_dir):
+    lines = blocks.lines_of(documents(spark, sf_dir)).where(F.col("line").rlike("[0-9]"))
+    return lines.select("doc_id", "line_no", formulas.text_in_words()("line").alias("said"))
+
+
+@query("exp12_script_candidates", f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]+'), lambda t: regexp_full_match(t, '[A-Za-z][0-9]')))::INT AS n FROM lines WHERE len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]+'), lambda t: regexp_full_match(t, '[A-Za-z][0-9]'))) > 0")
+def exp12_script_candidates(spark, sf_dir):
+    found = blocks.lines_of(documents(spark, sf_dir)).select("doc_id", "line_no", F.size(formulas.script_candidates(F.col("line"))).alias("n"))
+    return found.where("n > 0")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_language_and_noise(spark, sf_dir)
