@@ -38,7 +38,7 @@ def parsed(docs: DataFrame) -> DataFrame:
     typed = lines.withColumn("type", kind)
     first = (F.col("type") != "table") | ~F.lag("type", 1, "").over(w).eqNullSafe("table")
     runs = typed.withColumn("ord", F.sum(first.cast("int")).over(w))
-    cells = F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(line, r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     is_row = (F.col("type") == "table") & ~F.forall(cells, lambda c: c.rlike("^[-:]*$"))
     level = F.when(line.rlike(r"^#"), F.length(F.regexp_extract(line, "^(#+)", 1))).when(line.rlike(r"(?iu)^t[ií]tulo"), 1).when(line.rlike(HEADING), 2).otherwise(F.when(F.col("ord") == 1, 1).otherwise(2))
     text = F.when(line.rlike("^#"), F.regexp_replace(line, r"^#+\s+", "")).when((F.col("type") == "heading") & line.rlike(HEADING), F.regexp_extract(line, HEADING, 1)).otherwise(line)

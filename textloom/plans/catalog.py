@@ -79,7 +79,7 @@ def agg30_language(spark, sf_dir):
 @query("slice_language_and_noise", f"WITH {_LANGUAGE_CTE}, {_LINES}, n AS (SELECT doc_id, count(*) AS lines, count_if({_NOISE}) AS noise FROM lines GROUP BY doc_id) SELECT source, d.lang, detected, count(*)::BIGINT AS docs, sum(coalesce(lines, 0))::BIGINT AS lines, sum(coalesce(noise, 0))::BIGINT AS noise FROM d LEFT JOIN n USING (doc_id) GROUP BY ALL")
 def slice_language_and_noise(spark, sf_dir):
     """Which languages are taken for others, and how many lines of each source are noise."""
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda c: F.trim(c)), lambda x: x != "")
     one = documents(spark, sf_dir).select("source", "lang", "text", T.language_votes(F.col("text")).alias("v"), lines.alias("l"))
     rows = one.select("source", "lang", T.language(F.col("text"), F.col("v")).alias("detected"), F.size("l").alias("n"), F.size(F.filter("l", lambda x: T.is_noise(x))).alias("noise"))
     return rows.groupBy("source", "lang", "detected").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").cast("long").alias("lines"), F.sum("noise").cast("long").alias("noise"))
