@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.functions import maths, tables
 from textloom.functions import text as T
 from textloom.functions import vocabulary as V
 from textloom.operators import blocks, formulas, layout, reports
+from textloom.sources import render
+from textloom.streaming import intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -405,5 +408,131 @@ def exp12_script_candidates(spark, sf_dir):
     return found.where("n > 0")
 
 
+_EQUATIONS = "e AS (SELECT p_partkey AS expr_id, CASE p_partkey % 5 WHEN 0 THEN p_size || 'x² - ' || floor(p_retailprice)::INT || 'x + 1 = 0' WHEN 1 THEN 'y = \\frac{' || p_size || ' + \\sqrt{' || floor(p_retailprice)::INT || '}}{2a}' WHEN 2 THEN 'v = ' || p_size || ' m/s' WHEN 3 THEN p_size || ' ∈ {1, 2, ' || floor(p_retailprice)::INT || '}' ELSE 'f(x) = ' || p_size || '(x + 1)(x - ' || floor(p_retailprice)::INT END AS source FROM part)"
+
+
+@query("exp5_boundaries", f"WITH {_EQUATIONS} SELECT expr_id, length(replace(source, ')', '')) = length(replace(source, '(', '')) AS parentheses, length(replace(source, '}}', '')) = length(replace(source, '{{', '')) AS brackets, NOT regexp_matches(source, '[-+*/·×÷±]$') AS operands, NOT list_contains(list_transform(string_split(source, '='), lambda p: trim(p)), '') AS relation FROM e")
+def exp5_boundaries(spark, sf_dir):
+    return equations(spark, sf_dir).select("expr_id", maths.boundary(F.col("source")).alias("b")).select("expr_id", "b.parentheses", "b.brackets", "b.operands", "b.relation")
+
+
+@query("exp6_expansion", f"WITH {_EQUATIONS} SELECT expr_id, CASE WHEN expr_id % 5 = 4 THEN source || ' )' ELSE source END AS text, (expr_id % 5 = 4)::INT AS used FROM e")
+def exp6_expansion(spark, sf_dir):
+    wide = maths.expanded(F.col("source"), F.array(F.lit(")"), F.lit("+ 1")))
+    return equations(spark, sf_dir).select("expr_id", wide.alias("w")).select("expr_id", "w.text", "w.used")
+
+
+@query("exp11_probability")
+def exp11_probability(spark, sf_dir):
+    return equations(spark, sf_dir).select("expr_id", maths.probability(F.col("source")).alias("probability"))
+
+
+@query("exp19_likeness", f"WITH {_EQUATIONS}, t AS (SELECT expr_id, list_distinct(regexp_extract_all(regexp_replace(translate(lower(source), '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789'), '[\\^_{{}}\\s]', '', 'g'), '[0-9]+|[a-z]+|[^\\p{{L}}\\p{{N}}_\\s]')) AS k FROM e) SELECT a.expr_id, len(list_intersect(a.k, b.k)) / len(list_distinct(list_concat(a.k, b.k))) AS likeness FROM t a JOIN t b ON b.expr_id = a.expr_id + 5")
+def exp19_likeness(spark, sf_dir):
+    e = equations(spark, sf_dir)
+    other = e.select((F.col("expr_id") - 5).alias("expr_id"), F.col("source").alias("other"))
+    return e.join(other, "expr_id").select("expr_id", maths.likeness(F.col("source"), F.col("other")).alias("likeness"))
+
+
+@query("val30_lost_terms", "WITH t AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[0-9]+|[a-z]+') AS a, regexp_extract_all(lower(p_type), '[0-9]+|[a-z]+') AS b FROM part), u AS (SELECT p_partkey, unnest(list_distinct(a)) AS term, a, b FROM t) SELECT p_partkey, term, (len(list_filter(a, lambda x: x = term)) - len(list_filter(b, lambda x: x = term)))::INT AS more FROM u WHERE len(list_filter(a, lambda x: x = term)) > len(list_filter(b, lambda x: x = term))")
+def val30_lost_terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(maths.lost_terms(F.col("p_name"), F.col("p_type"))).alias("l")).select("p_partkey", "l.term", "l.more")
+
+
+@query("cls24_hedges")
+def cls24_hedges(spark, sf_dir):
+    found = maths.hedges(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", found.alias("hedges")).where(F.size("hedges") > 0)
+
+
+@query("cls25_kept_content")
+def cls25_kept_content(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    after = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    return turns.withColumn("after", after).where("after IS NOT NULL").select("conv_id", "turn", T.kept_content(F.col("text"), F.col("after")).alias("kept"))
+
+
+@query("txt40_glossary")
+def txt40_glossary(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split(F.lower("p_type"), " ")).alias("word"))
+    return words.select("p_partkey", "word", tables.translated(F.col("word")).alias("t")).select("p_partkey", "word", "t.term", "t.known")
+
+
+@query("agg28_table_summaries")
+def agg28_table_summaries(spark, sf_dir):
+    rows = blocks.parsed(documents(spark, sf_dir)).where("type = 'table' AND size(rows) > 0")
+    return rows.select("doc_id", "ord", tables.summary(F.col("rows")).alias("summary"))
+
+
+@query("agg29_axis_order")
+def agg29_axis_order(spark, sf_dir):
+    points = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_set(F.year("o_orderdate"))), lambda y: y.cast("string")).alias("labels"))
+    return points.select("o_custkey", tables.axis_order(F.lit("x"), F.col("labels")).alias("axis"))
+
+
+@query("txt36_json_repair")
+def txt36_json_repair(spark, sf_dir):
+    cut = F.expr("substring(props, 1, length(props) - event_id % 3)")
+    return table(spark, sf_dir, "events").select("event_id", tables.json_repair()(cut).alias("json"))
+
+
+@query("win18_joined_lines")
+def win18_joined_lines(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.md5(tables.line_joiner()("text")).alias("digest"))
+
+
+@query("win13_runs")
+def win13_runs(spark, sf_dir):
+    return layout.runs_of(layout.classified(layout.line_regions(documents(spark, sf_dir))), "text_clean")
+
+
+@query("agg6_joined_pieces")
+def agg6_joined_pieces(spark, sf_dir):
+    return layout.joined_pieces(layout.line_regions(documents(spark, sf_dir))).select("doc_id", "region_idx", "piece")
+
+
+@query("jon22_overlaps")
+def jon22_overlaps(spark, sf_dir):
+    regions = layout.line_regions(documents(spark, sf_dir)).withColumn("y1", F.col("y1") + 4).withColumn("type", F.when(F.col("region_idx") % 2 == 0, "unknown").otherwise("text"))
+    return layout.overlaps(regions, 0.10)
+
+
+@query("jon4_uncovered")
+def jon4_uncovered(spark, sf_dir):
+    regions = layout.line_regions(documents(spark, sf_dir)).withColumn("y1", F.col("y0") + 200)
+    return layout.uncovered(regions.where("region_idx % 20 = 0"), regions.where("region_idx % 20 = 1")).select("doc_id", "region_idx")
+
+
+@query("src37_txt")
+def src37_txt(spark, sf_dir):
+    return render.txt(blocks.parsed(documents(spark, sf_dir))).select("doc_id", F.md5("txt").alias("digest"))
+
+
+@query("src41_html")
+def src41_html(spark, sf_dir):
+    return render.html(blocks.parsed(documents(spark, sf_dir))).select("doc_id", F.length("html").alias("letters"))
+
+
+@query("src47_ssml")
+def src47_ssml(spark, sf_dir):
+    return render.ssml(blocks.parsed(documents(spark, sf_dir))).select("doc_id", F.length("ssml").alias("letters"))
+
+
+@query("src48_chunks")
+def src48_chunks(spark, sf_dir):
+    return render.chunks(documents(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("chunk")).alias("longest"))
+
+
+@query("src50_pandoc")
+def src50_pandoc(spark, sf_dir):
+    return render.pandoc(blocks.parsed(documents(spark, sf_dir))).select("doc_id", F.length("pandoc").alias("letters"))
+
+
+@query("str1_counts_by_hour", "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def str1_counts_by_hour(spark, sf_dir):
+    """The streaming count's expressions over the whole table at once; tests run them as a stream."""
+    return intake.counts(table(spark, sf_dir, "events"), "ts", "event_type")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_language_and_noise(spark, sf_dir)
