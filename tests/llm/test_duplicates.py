@@ -75,7 +75,7 @@ def passages():
 
 def test_passages_are_those_of_brute_force(spark):
     docs = passages()
-    df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, words int").repartition(3)
+    df = spark.createDataFrame([(i, t, 0, 1) for i, t in docs], "doc_id long, text string, words int, spans int").repartition(3)
     found, near = {}, brute.repeats(docs)
     for r in substring.repeated_passages(df).collect():
         assert r.ref_doc_id < r.doc_id and r.end_word - r.start_word >= 50

@@ -107,6 +107,8 @@ def test_toxicity_of_odd_tables(spark):
     flat = toxicity.scored(docs.drop("score"), labels.limit(0)).collect()
     assert len({r.score for r in flat}) == 1 and flat[0].predicted == 0
     assert toxicity.scored(docs.limit(0), labels).count() == 0
+    left = toxicity.clean(docs, labels)
+    assert left.columns == docs.columns and {r.score for r in left.collect()} <= {"x", "z"}
 
 
 def test_logistic_regression_separates():

@@ -61,8 +61,17 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Python workers get texts in batches of so many bytes, however long a text is; a longer one is a batch of its own.
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that setting is absent (tests on one machine), a folder of the driver, set here."""
+    bounded_batches(spark)
     top = spark.conf.get("spark.checkpoint.dir", None)
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not given.isDefined():

@@ -18,12 +18,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from textloom.llm.shared import held, words_of
+from textloom.llm.shared import bounded_batches, held, words_of
 
 #: What a sign may stand for when it isn't itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -235,18 +235,32 @@ def logistic(rows: list[list[int]], y: np.ndarray, size: int, rounds: int = 300,
 
 
 def scored(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
-    """A row for each row of docs: its columns, held_out, score, predicted."""
+    """A row for each row of docs: its columns, held_out, score, predicted; own columns of these names are replaced."""
+    rated = with_score(docs.drop("score", "held_out", "predicted"), labels, "score", most_rows)
+    return rated.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def clean(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
+    """The documents that aren't predicted toxic, with their columns as they are."""
+    name = next(n for k in range(len(docs.columns) + 1) if (n := f"toxicity_{k}") not in docs.columns)
+    return with_score(docs, labels, name, most_rows).where(F.col(name) < 0.5).drop(name)
+
+
+def with_score(docs: DataFrame, labels: DataFrame, name: str, most_rows: int) -> DataFrame:
+    """docs with the score as a further column of that name."""
+    bounded_batches(docs.sparkSession)
     counts = trigram_counts(docs)
     weights, bias = fitted(rows := held(training_features(docs, labels, counts, most_rows)))
     rows.unpersist()
     sent = docs.sparkSession.sparkContext.broadcast((counts, weights, bias))
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights, bias = sent.value
         decoder, log_odds = Decoder(counts), Score(weights, bias)
-        for texts in parts:
-            sums = np.array([log_odds(decoder.restored(t)) for t in texts], float)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(sums, -30, 30))))
+        for batch in batches:
+            sums = np.array([log_odds(decoder.restored(t.as_py())) for t in batch.column(text)], float)
+            yield batch.append_column(name, pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30)))))
 
-    score = F.pandas_udf(run, "double")
-    return docs.withColumn("held_out", held_out()).withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit("")))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    text = docs.columns.index("text")
+    schema = T.StructType([*docs.withColumn("text", F.col("text").cast("string")).schema, T.StructField(name, T.DoubleType())])
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
