@@ -100,12 +100,12 @@ def chunks(texts: DataFrame, key: str, column: str, size: int = 1500) -> DataFra
     empty = F.array().cast("array<string>")
 
     def step(a: Column, line: Column) -> Column:
-        last = F.element_at(a, -1)
+        last = F.try_element_at(a, F.lit(-1))
         fits = (F.size(a) > 0) & (F.length(last) + F.length(line) + 1 < size)
         grown = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(F.coalesce(last, F.lit("")), F.lit("\n"), line)))
         return F.when(fits, grown).otherwise(F.concat(a, F.array(line)))
 
-    # element_at of an empty array is null, which leaves `fits` false
+    # of an empty array the last is null, which leaves `fits` false
     packed = F.aggregate(F.split(column, "\n"), empty, step)
     return texts.select(key, F.posexplode(packed).alias("ord", "chunk"))
 
