@@ -120,16 +120,19 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
 
 
 def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
-    """Verified links a < b, jaccard between different texts; texts: id, bands (of `rows` rows); words: id, words."""
+    """Verified links a < b, jaccard between different texts; texts: id, bands (of `rows` rows); words: id, words.
+
+    Sizes and leaders are checkpoints: joins of plain shuffles are those that Spark can split where a bucket has too many rows.
+    """
     found, level = None, 0
     while True:
         split = texts.select("id", F.explode("bands").alias("bucket"))
-        sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
         members = held(split.join(sizes, "bucket"))
         few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
         pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
         central = members.groupBy("id").agg(F.sum("n").alias("met"))
-        leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader"))
+        leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader")).checkpoint()
         led = many.join(leaders, "bucket").where("id != leader").select("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
         pairs = pairs.unionByName(led.select("a", "b")).distinct().checkpoint()
         good = verified(pairs, words, n, threshold).checkpoint()

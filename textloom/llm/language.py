@@ -99,9 +99,12 @@ def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...
 
 
 def _counts(rows: DataFrame, languages: tuple[str, ...], name: str, *keys: str) -> DataFrame:
-    """How many texts of each language have each value of the keys, as an array in the order of the list."""
+    """How many texts of each language have each value of the keys, as an array in the order of the list.
+
+    A checkpoint, for Spark splits the join with a host of too many pages only if both its sides are plain shuffles.
+    """
     sums = [F.sum((F.col("said") == language).cast("double")) for language in languages]
-    return rows.where("said IS NOT NULL").groupBy(*keys).agg(F.array(*sums).alias(name))
+    return rows.where("said IS NOT NULL").groupBy(*keys).agg(F.array(*sums).alias(name)).checkpoint()
 
 
 def _total(counts: Column) -> Column:

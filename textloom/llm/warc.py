@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from textloom.llm.shared import file_system
+from textloom.llm.shared import checkpoint_folder, file_system
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 #: What each column of the schema is called in a record's head.
@@ -333,12 +333,14 @@ def records_of(pages: DataFrame, id_column: str = "page_id", least: int = 1000,
     """A record for each page. Of equal payloads of at least `least` bytes the one with the largest id is the response.
 
     Equal payloads may be a third of all: the largest id is a maximum combined before the shuffle, and a join on the digest
-    brings it to the pages, which Spark splits where a digest has too many. Payloads of revisits are dropped there.
+    brings it to the pages. That maximum is a checkpoint first, for Spark splits a join where a digest has too many rows only if
+    both its sides are plain shuffles. Payloads of revisits are dropped there.
     """
+    checkpoint_folder(pages.sparkSession)
     own = pages.select(F.col(id_column).cast("long").alias("id"), F.col("url").cast("string").alias("target_uri"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     own = own.select("*", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key")
-    first = own.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("key")).agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n")
+    first = own.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("key")).agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n").checkpoint()
     joined = own.select("*", key).join(first, "key", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     name = F.lit("<urn:textloom:page:")
