@@ -2,7 +2,7 @@
 
 The work of a round is in proportion to the edges, whatever the degree of a node: each step is a minimum by node, combined
 before the shuffle, and one join. Nothing of it is collected; rounds end when the edges stay the same. Each
-round is a checkpoint.
+round is a checkpoint, and so are the minima: a join of plain shuffles is one that Spark can split at a node of many edges.
 """
 
 from __future__ import annotations
@@ -25,9 +25,10 @@ def components(edges: DataFrame) -> DataFrame:
     while (found := _print_of(now)) != before and found[0]:
         before = found
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
     # at the end every edge leads to its component's smallest node
