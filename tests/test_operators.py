@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from textloom.operators import blocks, formulas, layout, reports
+from textloom.operators import blocks, formulas, layout, reports, validators
 from textloom.sources import files, render, store
 from textloom.streaming import intake
 
@@ -133,3 +133,17 @@ def test_streams(spark, tmp_path):
     once.processAllAvailable()
     once.stop()
     assert spark.sql("SELECT task FROM once").count() == 4
+
+
+def test_ledger(spark):
+    records = formulas.processed(spark.createDataFrame([(1, "x² = \\frac{1}{2}"), (2, "(x = 3")], "k int, source string"), "source").select("k", "source", "formula.*")
+    assert validators.of_serialisations(records, "k").count() == 0 and validators.of_speech(records, "k").count() == 0
+    assert {(r.object, r.check) for r in validators.of_formulas(records, "k").collect()} == {("2", "parenteses")}
+    broken = records.where("k = 1").withColumn("mathml", F.lit("<mn>1</mn>"))
+    assert {r.check for r in validators.of_serialisations(broken, "k").collect()} == {"Power_mathml", "Divide_mathml", "numbers_mathml"}
+    parsed = blocks.parsed(spark.createDataFrame([(1, "# A\n### B\nchain of thought\n|a|b|\n|1|"), (2, "limpo")], "doc_id long, text string"))
+    assert {(r.object, r.check) for r in validators.of_blocks(parsed).collect()} == {("1:2", "niveis"), ("1:3", "vazamento"), ("1:4", "tabela_irregular")}
+    rows = spark.createDataFrame([(1, 1, "technical"), (1, 2, None)], "doc_id int, ord int, verbosity string")
+    assert [r.object for r in validators.of_profile(rows, "txt").collect()] == ["1:1"]
+    a, b = spark.createDataFrame([(1, "x  y"), (2, "z")], "doc_id int, t string"), spark.createDataFrame([(1, "x y"), (3, "w")], "doc_id int, t string")
+    assert {r.object for r in validators.equal_outputs(a, b, "t").collect()} == {"2", "3"}

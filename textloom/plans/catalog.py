@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions import maths, tables
 from textloom.functions import text as T
 from textloom.functions import vocabulary as V
-from textloom.operators import blocks, formulas, layout, reports
+from textloom.operators import blocks, formulas, layout, reports, validators
 from textloom.sources import render
 from textloom.streaming import intake
 
@@ -534,5 +534,19 @@ def str1_counts_by_hour(spark, sf_dir):
     return intake.counts(table(spark, sf_dir, "events"), "ts", "event_type")
 
 
+@query("val14_issue_ledger")
+def val14_issue_ledger(spark, sf_dir):
+    records = exp42_formulas(spark, sf_dir)
+    parts = [validators.of_formulas(records, "expr_id"), validators.of_serialisations(records, "expr_id"), validators.of_speech(records, "expr_id"), validators.of_blocks(blocks.parsed(documents(spark, sf_dir)))]
+    return validators.union(parts).groupBy("check", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object").alias("objects"))
+
+
+@query("val25_table_cells", "WITH a AS (SELECT l_orderkey AS table_id, l_linenumber AS row, l_returnflag AS text FROM lineitem), b AS (SELECT l_orderkey AS table_id, l_linenumber AS row, CASE WHEN l_quantity > 25 THEN l_returnflag ELSE 'x' END AS out FROM lineitem WHERE l_linenumber < 5) SELECT a.table_id::VARCHAR AS object, CASE WHEN out IS NULL THEN 'celula_perdida' ELSE 'celula_alterada' END AS \"check\", 'BLOCKER' AS severity, a.row || ',1' AS evidence FROM a LEFT JOIN b USING (table_id, row) WHERE out IS NULL OR text <> out")
+def val25_table_cells(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table_id"), F.col("l_linenumber").alias("row"), F.lit(1).alias("col"), F.col("l_returnflag").alias("text"), "l_quantity")
+    output = cells.where("row < 5").withColumn("text", F.when(F.col("l_quantity") > 25, F.col("text")).otherwise("x"))
+    return validators.of_tables(cells.drop("l_quantity"), output.drop("l_quantity"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_language_and_noise(spark, sf_dir)
