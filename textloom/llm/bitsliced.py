@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import file_system, work_folder
+from textloom.llm.shared import file_system, lean, work_folder
 
 BLOCK = 1 << 15
 QUERIES = 512
@@ -171,7 +171,7 @@ def write_blocks(vectors: DataFrame, folder: str, rows: int, slices: bool, scale
         for width in list(held):
             yield store(width)
 
-    vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lean(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return vectors.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -205,7 +205,7 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, scale:
                 columns = [np.repeat([o[0] for o in out], [len(o[1]) for o in out]), *(np.concatenate([o[i] for o in out]) for i in (1, 2))]
                 yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
 
-    found = pairs.select("file", "queries").repartition(max(1, n_groups * n_blocks)).mapInArrow(run, FOUND)
+    found = pairs.select("file", "queries").repartition(max(1, n_groups * n_blocks)).mapInArrow(lean(run), FOUND)
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.down")).alias("score"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import BROADCAST_KEYS, held, kept, only_keys, texts_of, words_of
+from textloom.llm.shared import BROADCAST_KEYS, held, kept, lean, only_keys, texts_of, words_of
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
 SMALL = 32
@@ -87,7 +87,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     out[2].append(banded(least_hashes(np.unique(ngrams(words, n)), factors), bands, rows) if spelt else [])
                 yield pa.record_batch([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.list_(pa.int64()))], ["doc_id", "key", "words", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, words binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, key binary, words binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -111,7 +111,7 @@ def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> Da
                         column.append(value)
             yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "jaccard"])
 
-    return met.mapInArrow(run, "a long, b long, jaccard double")
+    return met.mapInArrow(lean(run), "a long, b long, jaccard double")
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
@@ -144,7 +144,7 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recal
             return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
         level, rows = level + 1, min(rows + STEEPER, STEEPEST)
         shape = bands_of(threshold, recall, rows), rows, level
-        texts = only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lambda batches, shape=shape: signed_again(batches, n, *shape), "id long, bands array<long>").checkpoint()
+        texts = only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lean(lambda batches, shape=shape: signed_again(batches, n, *shape)), "id long, bands array<long>").checkpoint()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:

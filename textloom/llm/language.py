@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import kept
+from textloom.llm.shared import kept, lean
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
@@ -70,7 +70,7 @@ def trained(pages: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
         yield pa.record_batch([pa.array(found), pa.array(seen.ravel()[found])], ["cell", "n"])
 
     counts = np.zeros(len(languages) * BUCKETS)
-    for cell, n in pages.select(F.col("html").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in pages.select(F.col("html").cast("string")).mapInArrow(lean(run), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         counts[cell] = n
     counts = counts.reshape(len(languages), BUCKETS)
     whole = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
@@ -95,7 +95,7 @@ def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string())
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["page_id", "declared", "suffix", "domain", "host", "text", "said"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, declared string, suffix string, domain string, host string, text array<double>, said string")
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(lean(run), "page_id long, declared string, suffix string, domain string, host string, text array<double>, said string")
 
 
 def _counts(rows: DataFrame, languages: tuple[str, ...], name: str, *keys: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import kept
+from textloom.llm.shared import kept, lean
 from textloom.llm.tokens import encoder, vocabulary_size
 
 TOKENS = "part long, doc_id long, local_start long, ids binary"
@@ -48,7 +48,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         if rows[0]:
             yield _token_batch(part, rows)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), TOKENS)
 
 
 def _token_batch(part: int, rows: tuple[list, list, list]) -> pa.RecordBatch:
@@ -83,7 +83,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 1024) -> Da
         if out:
             yield _piece_batch(out)
 
-    return placed.select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "ids").mapInArrow(cut, PIECES)
+    return placed.select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "ids").mapInArrow(lean(cut), PIECES)
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -69,6 +70,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def lean(run):
+    """run over Arrow batches; at the end of a task its freed memory goes back, for the worker stays for other stages."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return whole
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where that setting is absent (tests on one machine), a folder of the driver, set here."""
     bounded_batches(spark)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import file_system
+from textloom.llm.shared import file_system, lean
 from textloom.llm.tokens import encoder, vocabulary_size
 
 MAGIC = b"TLIDS001"
@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             yield pa.record_batch([pa.array([x]) for x in (part, name, len(writer.docs), writer.tokens)], ["part", "file", "documents", "tokens"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(lean(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -179,7 +179,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         yield _batch(rows)
 
     listed = spark.createDataFrame(files, "part long, file string, base long")
-    return listed.repartition(max(1, len(files))).mapInArrow(run, READ)
+    return listed.repartition(max(1, len(files))).mapInArrow(lean(run), READ)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

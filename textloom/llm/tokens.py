@@ -56,8 +56,8 @@ class TextEncoder:
     def __init__(self, path: str, most: int = 400_000):
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        self.whole = Tokenizer.from_file(path)
-        self.size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.path, self._whole = path, None
+        self.size = max(max(rules["model"]["vocab"].values()), *(t["id"] for t in rules["added_tokens"]), 0) + 1
         self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         added = [t["content"] for t in rules["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
@@ -65,12 +65,19 @@ class TextEncoder:
         self.lower = rules["normalizer"] is not None
         if self.lower and not self._lower_only(rules["normalizer"]) or rules["model"]["type"] != "BPE":
             self.pattern = None
-        self.model, self.letters = self.whole.model, byte_letters()
-        self.core, self.left = (self._ranks(rules["model"]) if self.spaced and not self.lower else None), HELD_AGAINST
+        self.core, self.left = (self._ranks(rules["model"], set(added)) if self.spaced and not self.lower else None), HELD_AGAINST
         if self.spaced and self.core is None:
             self.pattern = None
+        self.model, self.letters = self.whole.model if self.core is None else None, byte_letters()
         self.pieces, self.chunks = _Kept(self._piece, most // 2), _Kept(self._chunk, most)
 
+    @property
+    def whole(self) -> Tokenizer:
+        """The library's tokenizer, loaded when it is needed."""
+        if self._whole is None:
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     @staticmethod
     def _pattern(rule: dict | None):
         """The pattern whose matches are encoded each for itself, None if the file's kind isn't known, and whether matches hold white space."""
@@ -90,15 +97,15 @@ class TextEncoder:
         rules = rule.get("normalizers", [rule])
         return [r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and rules[1]["pattern"] == {"Regex": "\\s+"} and rules[1]["content"] == " "
 
-    def _ranks(self, model: dict) -> tiktoken.Encoding | None:
+    def _ranks(self, model: dict, added: set[str]) -> tiktoken.Encoding | None:
         """The vocabulary as ranks, if merges come in the order of the ids they make."""
-        vocab, added = model["vocab"], set(self.whole.get_added_tokens_decoder())
+        vocab = model["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         made = [vocab["".join(m)] for m in merges]
         if made != sorted(made) or model["end_of_word_suffix"] or model["continuing_subword_prefix"]:
             return None
         back = {letter: byte for byte, letter in byte_letters().items()}
-        ranks = {bytes(map(back.__getitem__, token)): k for token, k in vocab.items() if k not in added}
+        ranks = {bytes(map(back.__getitem__, token)): k for token, k in vocab.items() if token not in added}
         return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _piece(self, piece: str) -> bytes:
@@ -125,6 +132,8 @@ class TextEncoder:
                 self.left -= 1
                 if ids.tolist() != self.whole.encode(text, add_special_tokens=False).ids:
                     raise ValueError("the two libraries differ on this file")
+                if not self.left:
+                    self._whole = None  # rarely needed from here on
             return ids
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), self.dtype)
 

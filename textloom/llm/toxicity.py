@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.shared import bounded_batches, held, words_of
+from textloom.llm.shared import bounded_batches, held, lean, words_of
 
 #: What a sign may stand for when it isn't itself.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
@@ -64,7 +64,7 @@ def trigram_counts(docs: DataFrame) -> Model:
         found = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(found), pa.array(seen[found])], ["code", "n"])
 
-    return {r[0]: r[1] for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
+    return {r[0]: r[1] for r in docs.select(F.col("text").cast("string")).mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n")).collect()}
 
 
 class Decoder:
@@ -191,7 +191,7 @@ def training_features(docs: DataFrame, labels: DataFrame, counts: Model, most_ro
                 found = [sorted(f.decode("latin-1") for f in features(decoder.restored(t.as_py()))) for t in batch.column(2)]
                 yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "features"])
 
-    return chosen.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, features array<string>")
+    return chosen.select("doc_id", "toxic", "text").mapInArrow(lean(run), "doc_id long, toxic int, features array<string>")
 
 
 def fitted(rows: DataFrame, most_features: int = 20_000, least_docs: int = 3, least_gain: float = 15.0) -> tuple[dict[str, float], float]:
@@ -213,7 +213,7 @@ def fitted(rows: DataFrame, most_features: int = 20_000, least_docs: int = 3, le
             found = [[sent.value[f] for f in row if f in sent.value] for row in batch.column(2).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "places"])
 
-    sample = sorted(map(tuple, rows.select("doc_id", "toxic", "features").mapInArrow(run, "doc_id long, toxic int, places array<int>").collect()))  # most_rows rows
+    sample = sorted(map(tuple, rows.select("doc_id", "toxic", "features").mapInArrow(lean(run), "doc_id long, toxic int, places array<int>").collect()))  # most_rows rows
     weights, bias = logistic([s[2] for s in sample], np.array([s[1] for s in sample], float), len(names))
     return {f: float(w) for f, w in zip(names, weights, strict=True)}, bias
 
@@ -263,4 +263,4 @@ def with_score(docs: DataFrame, labels: DataFrame, name: str, most_rows: int) ->
 
     text = docs.columns.index("text")
     schema = T.StructType([*docs.withColumn("text", F.col("text").cast("string")).schema, T.StructField(name, T.DoubleType())])
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(lean(run), schema)
