@@ -4,7 +4,7 @@ from tests.llm import brute
 from textloom.llm import components, jaccard_join, substring
 from textloom.llm.shingles import ngrams
 
-random.seed(7)
+random = random.Random(7)
 VOCABULARY = ["".join(random.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
 
 

@@ -7,7 +7,7 @@ import numpy as np
 from tests.conftest import SF
 from textloom.llm import language, toxicity
 
-random.seed(11)
+random = random.Random(11)
 
 
 def test_language_by_hand(spark):
