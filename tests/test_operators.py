@@ -12,8 +12,8 @@ def boxes(spark, rows):
 
 
 def test_near_pairs_against_all_pairs(spark):
-    random.seed(2)
-    rows = [(x := random.uniform(0, 400), y := random.uniform(0, 900), x + random.uniform(5, 200), y + random.uniform(2, 300)) for _ in range(70)]
+    draw = random.Random(2)
+    rows = [(x := draw.uniform(0, 400), y := draw.uniform(0, 900), x + draw.uniform(5, 200), y + draw.uniform(2, 300)) for _ in range(70)]
     found = {(r.a_region_idx, r.b_region_idx) for r in layout.near_pairs(boxes(spark, rows), 40.0).collect()}
     want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and max(a[1] - b[3], b[1] - a[3], 0) <= 40}
     assert found == want
