@@ -81,9 +81,9 @@ def test_reports(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, data in {"a.pdf": b"%PDF-1.7", "b.pdf": b"no", "c.webp": b"RIFF0000WEBP", "d.webp": b"RIFF0000XXXX", "e.xyz": b"1", "noext": b"1", "f_acessivel.html": b"<p>", "g.html": b"x acessilia_generated"}.items():
+    for name, data in {"a.pdf": b"%PDF-1.7", "b.pdf": b"no", "c.webp": b"RIFF0000WEBP", "d.webp": b"RIFF0000XXXX", "e.xyz": b"1", "noext": b"1", "f_acessivel.html": b"<p>", "g.html": b"x made-by-textloom"}.items():
         (tmp_path / name).write_bytes(data)
-    rows = {r.name: (r.code, r.own) for r in files.read(spark, str(tmp_path)).select("name", files.refusal().alias("code"), files.own_output().alias("own")).collect()}
+    rows = {r.name: (r.code, r.own) for r in files.read(spark, str(tmp_path)).select("name", files.refusal().alias("code"), files.own_output("made-by-textloom").alias("own")).collect()}
     assert rows == {"a.pdf": (None, False), "b.pdf": ("UPLOAD-MAGIC-001", False), "c.webp": (None, False), "d.webp": ("UPLOAD-MAGIC-002", False), "e.xyz": ("UPLOAD-EXT-001", False), "noext": ("UPLOAD-EXT-000", False), "f_acessivel.html": (None, True), "g.html": (None, True)}
 
 

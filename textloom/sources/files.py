@@ -42,12 +42,12 @@ def refusal(most_bytes: int = MOST_BYTES) -> Column:
     )
 
 
-def own_output() -> Column:
-    """Was the file made here? By the name's end, or a mark in the first or last 8 KiB."""
+def own_output(mark: str, name_ends: str = "_acessivel") -> Column:
+    """Was the file made here? By the name's end, or the maker's mark in the first or last 8 KiB."""
     stem = F.lower(F.regexp_replace("name", r"\.[^.]*$", ""))
-    mark = F.hex(F.encode(F.lit("acessilia_generated"), "UTF-8"))
+    shown = F.hex(F.encode(F.lit(mark), "UTF-8"))
     ends = F.concat(F.hex(F.substring(F.col("content"), 1, 8192)), F.hex(F.expr("substring(content, greatest(length(content) - 8191, 1), 8192)")))
-    return stem.endswith("_acessivel") | F.contains(stem, F.lit("rascunho_nao_aprovado")) | F.contains(ends, mark)
+    return stem.endswith(name_ends) | F.contains(stem, F.lit("rascunho_nao_aprovado")) | F.contains(ends, shown)
 
 
 def output_name(source: Column, suffix: str, kind: str) -> Column:
