@@ -119,22 +119,25 @@ def first_like(text: str, earlier, ratio: float) -> tuple[int | None, float | No
 def pruned(rows: DataFrame, order: str) -> DataFrame:
     """Blocks (doc_id, order, type, text) without noise and without repeats of one of the last six that stay.
 
-    What stays depends on what stayed before, so a document is one group.
+    What stays depends on what stayed before, so a document is one row, as its text was.
     """
 
-    def document(pdf):
-        return prune_document(pdf.sort_values(order, kind="stable"), order)
-
-    typed = rows.select("doc_id", F.col(order).cast("long").alias(order), "type", F.coalesce("text", F.lit("")).alias("text"))
+    typed = rows.select("doc_id", F.col(order).cast("long").alias("o"), "type", F.coalesce("text", F.lit("")).alias("text"))
     keys = typed.withColumns({"noise": T.is_noise(F.col("text"), F.col("type") == "image"), "label_free": T.without_process_label(F.col("text"))})
     ready = keys.withColumns({"key": T.comparison_key(F.col("text")), "numbers": T.numbers_of(F.col("label_free")), "terms": T.terms_of(F.col("label_free")), "broken": T.brokenness(F.col("label_free"))})
-    return ready.groupBy("doc_id").applyInPandas(document, f"doc_id long, {order} long, type string, text string")
+    whole = ready.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("o", "type", "text", "noise", "label_free", "key", "numbers", "terms", "broken"))).alias("rows"))
+
+    def run(documents: pd.Series) -> pd.Series:
+        return documents.map(prune_document)
+
+    kept = F.pandas_udf(run, "array<struct<o:bigint,type:string,text:string>>")
+    return whole.select("doc_id", F.explode(kept("rows")).alias("b")).select("doc_id", F.col("b.o").alias(order), "b.type", "b.text")
 
 
 OUTSIDE_TEXT = ("table", "math", "list", "code")
 
 
-def same_content(a, b) -> bool:
+def same_content(a: dict, b: dict) -> bool:
     """Equal keys; or one breaks off where the other goes on; or long ones with equal numbers and like words."""
     from difflib import SequenceMatcher
 
@@ -142,23 +145,27 @@ def same_content(a, b) -> bool:
         return False
     if a["key"] == b["key"]:
         return True
-    one, two = set(a["terms"]), set(b["terms"])
-    if not one | two:
+    every = len(a["terms"] | b["terms"])
+    if not every:
         return False
-    share = len(one & two) / len(one | two)
-    numbers, others = list(a["numbers"]), list(b["numbers"])
+    share = len(a["terms"] & b["terms"]) / every
+    numbers, others = a["numbers"], b["numbers"]
     if share >= 0.55 and a["broken"] != b["broken"]:
         short, whole = (numbers, others) if a["broken"] > b["broken"] else (others, numbers)
         if len(short) < len(whole) and whole[: len(short)] == short:
             return True
     if min(len(a["key"]), len(b["key"])) < 60 or numbers != others:
         return False
-    return share >= 0.55 or SequenceMatcher(None, a["key"], b["key"]).ratio() >= 0.85
+    if share >= 0.55:
+        return True
+    match = SequenceMatcher(None, a["key"], b["key"])
+    # two upper bounds come first: most texts aren't alike
+    return match.real_quick_ratio() >= 0.85 and match.quick_ratio() >= 0.85 and match.ratio() >= 0.85
 
 
-def prune_document(pdf, order: str):
+def prune_document(rows) -> list[dict]:
     kept: list[dict] = []
-    for row in pdf.to_dict("records"):
+    for row in ({**r, "terms": frozenset(r["terms"]), "numbers": list(r["numbers"])} for r in rows):
         if row["type"] in OUTSIDE_TEXT:
             kept.append(row)
             continue
@@ -170,4 +177,4 @@ def prune_document(pdf, order: str):
             kept.append(row)
         elif (row["broken"], -len(row["text"])) < (kept[place]["broken"], -len(kept[place]["text"])):
             kept[place] = row
-    return pd.DataFrame([(r["doc_id"], r[order], r["type"], r["text"]) for r in kept], columns=["doc_id", order, "type", "text"])
+    return [{"o": r["o"], "type": r["type"], "text": r["text"]} for r in kept]
