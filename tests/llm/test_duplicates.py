@@ -37,6 +37,20 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert kept == set(brute.classes(docs).values())
 
 
+def test_links_in_large_buckets_are_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 20)
+    base = text(150)
+    docs = [(i, " ".join(edited(base, i % 4))) for i in range(120)] + [(200 + i, " ".join(text(60))) for i in range(20)]
+    sets = {}
+    for i, t in docs:  # one of each text
+        sets.setdefault(t, (i, brute.shingles(t)))
+    want = {t: sum(len(own & x) / len(own | x) >= 0.8 for k, x in sets.values() if k != i) for t, (i, own) in sets.items()}
+    rows = {r.doc_id: r for r in jaccard_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert max(want.values()) > jaccard_join.SMALL
+    assert {i: rows[i].n_links for i, _ in docs} == {i: want[t] for i, t in docs}
+    assert {i: r.class_id for i, r in rows.items()} == brute.classes(docs)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert jaccard_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A, b; c d e F"), (3, "a b c d e g"), (4, "a b"), (5, "a b")]

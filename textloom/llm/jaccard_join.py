@@ -2,11 +2,11 @@
 
 Texts of the same words are one class from the start; only one of each, its smallest doc_id, enters the bands. Band and
 row counts follow from the threshold and the recall asked for. Texts that
-share a band's hash are a bucket. In a bucket of up to SMALL texts all pairs are compared. In a larger one all are compared
-with one leader, the text that meets the most others in its buckets: of edited copies, what they were copied from. Those
-that aren't similar to a leader go on to another level, with fresh hash functions and more rows to a band, whose buckets
-hold the more similar ones of them. Pairs stay in proportion to the rows at each level, and levels end when each text
-of a large bucket is linked with its leader.
+share a band's hash are a bucket, and all pairs of a bucket are compared, whatever its size. A bucket of up to SMALL texts
+gives its pairs by a join. A larger one is dealt into parts of some TILE texts by a hash; each two parts are a tile, a piece of
+work of its own, whose n-gram sets are compared by products of matrices. A pair of several common buckets is
+compared in the first of them. Comparisons grow with the square of a group of texts that are all alike, for each link counts;
+rows do not: a tile tells how many links each text has and a spanning tree of them.
 
 Null texts and those without words are alone in their class. A text of fewer words than the n-gram is one n-gram. Rows that
 share an id are one document, in the class of either text. An empty table gives no row. Other columns are ignored.
@@ -28,8 +28,8 @@ from textloom.llm.shared import BROADCAST_KEYS, held, kept, lean, only_keys, tex
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
 SMALL = 32
-#: Rows that each level has more than the one before, and the most there are.
-STEEPER, STEEPEST = 8, 21
+#: Texts in a part of a larger bucket, and n-grams in a matrix.
+TILE, COLUMNS = 128, 1 << 13
 
 
 def bands_for(threshold: float, recall: float, most: int = 96) -> tuple[int, int]:
@@ -43,17 +43,9 @@ def bands_of(threshold: float, recall: float, rows: int) -> int:
     return ceil(log(1 - recall) / log(1 - threshold**rows)) if threshold < 1 else 1
 
 
-def factors_for(bands: int, rows: int, level: int = 0) -> np.ndarray:
-    """Odd numbers, fresh ones for each level."""
-    return np.random.Generator(np.random.PCG64(level)).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def signed_again(batches: Iterator[pa.RecordBatch], n: int, bands: int, rows: int, level: int) -> Iterator[pa.RecordBatch]:
-    """id, words to id, bands."""
-    factors = factors_for(bands, rows, level)
-    for batch in batches:
-        found = [banded(least_hashes(np.unique(ngrams(np.frombuffer(w.as_buffer(), "<u4"), n)), factors), bands, rows) for w in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "bands"])
+def factors_for(bands: int, rows: int) -> np.ndarray:
+    """Odd numbers."""
+    return np.random.Generator(np.random.PCG64(0)).integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def least_hashes(grams: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -93,7 +85,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose n-gram sets are similar enough, with jaccard; pairs is a checkpoint or a table, words: id, words.
 
-    Both texts of a pair meet by the pair, not by a text, so a leader of many pairs is no hot key.
+    Both texts of a pair meet by the pair, not by a text, so a text of many pairs is no hot key.
     """
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
     few = pairs.count() <= BROADCAST_KEYS // 2
@@ -119,32 +111,114 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return jaccard(a, b) if min(len(a), len(b)) >= threshold * max(len(a), len(b)) else 0.0
 
 
-def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
-    """Verified links a < b, jaccard between different texts; texts: id, bands (of `rows` rows); words: id, words.
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of the left has in common with each of the right; sets are sorted, without repeats."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = [[np.flatnonzero(np.isin(shared, x, assume_unique=True)) for x in side] for side in (left, right)]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - at)
+        sides = [np.zeros((len(side), width), np.float32) for side in places]
+        for matrix, side in zip(sides, places, strict=True):
+            for row, x in enumerate(side):
+                lo, hi = np.searchsorted(x, (at, at + width))
+                matrix[row, x[lo:hi] - at] = 1
+        out += (sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def tile_links(rows: list[tuple], bucket: int, i: int, j: int, n: int, threshold: float) -> list[tuple]:
+    """What `tiled` returns of parts i and j, without the pairs of an earlier common bucket; rows: part, id, bands, words."""
+    left, right = ([r for r in rows if r[0] == part] for part in (i, j))
+    if not left or not right:
+        return []
+    ids = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
+    todo = ids[0][:, None] != ids[1][None, :]
+    if i == j:
+        todo &= np.tri(len(left), k=-1, dtype=bool)
+    bands = [np.array([r[2] for r in side], np.int64) for side in (left, right)]
+    for band in range(int(np.flatnonzero(bands[0][0] == bucket)[0])):
+        todo &= bands[0][:, None, band] != bands[1][None, :, band]
+    if not todo.any():
+        return []
+    sets = [np.unique(ngrams(np.frombuffer(r[3], "<u4"), n)) for r in left]
+    sets = [sets, sets if i == j else [np.unique(ngrams(np.frombuffer(r[3], "<u4"), n)) for r in right]]
+    sizes, both = [np.array([len(x) for x in side]) for side in sets], common(*sets)
+    good = todo & (both / (sizes[0][:, None] + sizes[1][None, :] - both) >= threshold)
+    nodes = ids[0] if i == j else np.concatenate(ids)
+    linked = good if i == j else np.block([[np.zeros((len(left),) * 2, bool), good], [np.zeros((len(right), len(left) + len(right)), bool)]])
+    linked = linked | linked.T
+    return [(a, None, k) for a, k in zip(nodes.tolist(), linked.sum(1).tolist(), strict=True) if k] + [(int(min(nodes[[x, y]])), int(max(nodes[[x, y]])), 0) for x, y in forest(linked)]
+
+
+def forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """The links of a spanning tree of each component."""
+    out, seen = [], ~linked.any(1)
+    for start in range(len(linked)):
+        todo = [] if seen[start] else [start]
+        seen[start] = True
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(linked[x] & ~seen).tolist()
+            seen[new] = True
+            out += [(x, y) for y in new]
+            todo += new
+    return out
+
+
+def tiled(many: DataFrame, texts: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Of the links in large buckets: a, null, the number of its links in a tile; a, b, 0 of links that join what a tile's links join.
+
+    So rows stay in proportion to a tile's texts, not to its links. many: bucket, n (its size), id, key; texts: id, key, bands; words: id, key, words.
+    """
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = many.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int")).select("bucket", "id", "key", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "key")
+    wanted = many.select("id").distinct().checkpoint()
+    content = only_keys(texts, wanted, "id").join(only_keys(words, wanted, "id").dropDuplicates(["id", "key"]), ["id", "key"]).checkpoint()
+    place = ["bucket", "i", "j"]
+    loaded = dealt.join(content, ["id", "key"]).select(*place, "part", "id", "bands", "words").repartition(*place).sortWithinPartitions(*place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            links = tile_links(rows, *now, n, threshold)
+            return pa.record_batch([pa.array([x[k] for x in links], t) for k, t in enumerate((pa.int64(),) * 3)], ["a", "b", "n"])
+
+        now, rows = None, []
+        for batch in batches:
+            for at, row in zip(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True), strict=True):
+                if at != now:
+                    if rows:
+                        yield out()
+                    now, rows = at, []
+                rows.append(row)
+        if rows:
+            yield out()
+
+    return loaded.mapInArrow(lean(run), "a long, b long, n long")
+
+
+def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """id, n_links of the texts with verified links, and links a < b that lead wherever all of them lead.
 
-    Sizes and leaders are checkpoints: joins of plain shuffles are those that Spark can split where a bucket has too many rows.
+    texts: id, key, bands; words: id, key, words. A pair counts in its first common bucket.
+    Sizes are a checkpoint: joins of plain shuffles are those that Spark can split where a bucket has too many rows.
     """
-    found, level = None, 0
-    while True:
-        split = texts.select("id", F.explode("bands").alias("bucket"))
-        sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
-        members = held(split.join(sizes, "bucket"))
-        few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b")
-        central = members.groupBy("id").agg(F.sum("n").alias("met"))
-        leaders = many.join(central, "id").groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("down"))).alias("m")).select("bucket", (-F.col("m.down")).alias("leader")).checkpoint()
-        led = many.join(leaders, "bucket").where("id != leader").select("id", F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = pairs.unionByName(led.select("a", "b")).distinct().checkpoint()
-        good = verified(pairs, words, n, threshold).checkpoint()
-        found = good if found is None else found.unionByName(good)
-        waiting = led.join(good, ["a", "b"], "left_anti").select("id").distinct().checkpoint()
-        done = waiting.isEmpty()
-        members.unpersist()
-        if done:
-            return found.groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-        level, rows = level + 1, min(rows + STEEPER, STEEPEST)
-        shape = bands_of(threshold, recall, rows), rows, level
-        texts = only_keys(words, waiting, "id").groupBy("id").agg(F.min("words").alias("words")).mapInArrow(lean(lambda batches, shape=shape: signed_again(batches, n, *shape)), "id long, bands array<long>").checkpoint()
+    split = texts.select("id", "key", "bands", F.explode("bands").alias("bucket"))
+    sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+    members = held(split.join(sizes, "bucket"))
+    few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL).drop("bands")
+    own, other = (few.select("bucket", F.col("id").alias(x), F.col("bands").alias(f"bands_{x}")) for x in "ab")
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.array_position("bands_a", F.col("bucket"))
+    pairs = own.join(other, "bucket").where("a < b").where(first).select("a", "b").distinct().checkpoint()
+    found = verified(pairs, words.select("id", "words"), n, threshold).select("a", "b").checkpoint()
+    ends = found.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
+    if not many.isEmpty():
+        tiles = tiled(many, texts, words, n, threshold).checkpoint()
+        ends = ends.unionByName(tiles.where("b IS NULL").select(F.col("a").alias("id"), "n"))
+        found = found.unionByName(tiles.where("b IS NOT NULL").select("a", "b"))
+    members.unpersist()
+    return ends.groupBy("id").agg(F.sum("n").alias("n_links")), found
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -152,8 +226,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     bands, rows = bands_for(threshold, recall)
     signed = kept(signatures(docs, n, bands, rows), "signatures")
     texts = kept(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
-    links = links_of(texts.select("id", "bands"), signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "words"), n, threshold, recall, rows)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    ends, links = links_of(texts, signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "words"), n, threshold)
     labels = components(links).withColumnRenamed("node", "id")
     classes = texts.select("key", "id").join(ends, "id", "left").join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows_of = signed.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
