@@ -43,3 +43,15 @@ def test_entry():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_uncovered_takes_every_region(spark, monkeypatch):
+    from textloom.operators import layout
+
+    taken, uncovered = [], layout.uncovered
+    monkeypatch.setattr(layout, "uncovered", lambda *sides: (taken.extend(sides), uncovered(*sides))[1])
+    rows = catalog.QUERIES["jon4_uncovered"](spark, SF).collect()
+    regions = layout.line_regions(catalog.documents(spark, SF)).select("doc_id", "region_idx")
+    sides = [side.select("doc_id", "region_idx") for side in taken]
+    assert sides[0].unionByName(sides[1]).exceptAll(regions).isEmpty() and regions.exceptAll(sides[0].unionByName(sides[1])).isEmpty()
+    assert all(side.count() for side in sides) and rows

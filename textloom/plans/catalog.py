@@ -499,8 +499,10 @@ def jon22_overlaps(spark, sf_dir):
 
 @query("jon4_uncovered")
 def jon4_uncovered(spark, sf_dir):
-    regions = layout.line_regions(documents(spark, sf_dir)).withColumn("y1", F.col("y0") + 200)
-    return layout.uncovered(regions.where("region_idx % 20 = 0"), regions.where("region_idx % 20 = 1")).select("doc_id", "region_idx")
+    """Lines of clean text are the known regions; all others are candidates."""
+    regions = layout.classified(layout.line_regions(documents(spark, sf_dir))).withColumn("y1", F.col("y0") + 200)
+    known = F.col("class") == "text_clean"
+    return layout.uncovered(regions.where(~known), regions.where(known)).select("doc_id", "region_idx")
 
 
 @query("src37_txt")
