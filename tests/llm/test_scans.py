@@ -79,6 +79,41 @@ def test_license_labels(spark, text, labels):
     assert licenses.summary(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().labels == labels
 
 
+def spellings(parts):
+    """Every text that a rule's regex matches."""
+    from re import _constants as c
+
+    out = [""]
+    for op, arg in parts:
+        if op is c.LITERAL:
+            one = [chr(arg)]
+        elif op is c.IN:
+            one = [chr(x) for _, x in arg]
+        elif op is c.BRANCH:
+            one = [x for branch in arg[1] for x in spellings(branch)]
+        elif op is c.SUBPATTERN:
+            one = spellings(arg[3])
+        elif op is c.MAX_REPEAT:
+            assert arg[:2] == (0, 1)
+            one = ["", *spellings(arg[2])]
+        else:
+            raise ValueError(op)
+        out = [a + b for a in out for b in one]
+    return out
+
+
+def test_every_spelling_of_a_license_rule_passes_its_gate():
+    from re import _parser
+
+    listed = [(regex, keyword) for _, regex, keyword in licenses.NAMES] + [(regex, keyword) for _, regex, keyword, _ in licenses.NOTICES]
+    assert [] == [(keyword, text) for regex, keyword in listed for text in spellings(_parser.parse(regex)) if keyword not in text.split(" ")]
+
+
+@pytest.mark.parametrize(("text", "label"), [("Zero-Clause BSD", "0bsd"), ("the Unlicence", "unlicense"), ("Do What The Fuck You Want To Public License", "wtfpl"), ("CreativeML Open RAIL-M", "openrail"), ("licensed under GPL2", "gpl-2.0"), ("Apache2", "apache-2.0"), ("FreeBSD", "bsd-2-clause")])
+def test_license_spellings_without_the_usual_keyword(spark, text, label):
+    assert licenses.summary(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().labels == label
+
+
 def test_license_suppression_by_brute_force(spark):
     text = "released under the mit license or mit license and licensed under cc by nc sa 4 0 international"
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

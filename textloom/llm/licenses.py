@@ -32,40 +32,50 @@ NAMES = (
     ("gpl-2.0", "gnu general public licen[cs]e(?: v| version)? ?2", "gnu"),
     ("gpl-3.0", "gnu general public licen[cs]e(?: v| version)? ?3", "gnu"),
     ("gpl", "gpl(?: licen[cs]e)?", "gpl"),
-    ("gpl-2.0", "gpl(?: v| version)? ?2(?: 0)?", "gpl"),
+    ("gpl-2.0", "gpl(?: v ?| version ?| )2(?: 0)?", "gpl"),
+    ("gpl-2.0", "gpl2(?: 0)?", "gpl2"),
     ("gpl-2.0", "gplv2", "gplv2"),
-    ("gpl-3.0", "gpl(?: v| version)? ?3(?: 0)?", "gpl"),
+    ("gpl-3.0", "gpl(?: v ?| version ?| )3(?: 0)?", "gpl"),
+    ("gpl-3.0", "gpl3(?: 0)?", "gpl3"),
     ("gpl-3.0", "gplv3", "gplv3"),
     ("lgpl", "gnu (?:lesser|library) general public licen[cs]e(?:(?: v| version)? ?[23](?: [01])?)?", "gnu"),
-    ("lgpl", "lgpl(?:(?: v| version)? ?[23](?: [01])?)?", "lgpl"),
+    ("lgpl", "lgpl(?:(?: v ?| version ?| )[23](?: [01])?)?", "lgpl"),
+    ("lgpl", "lgpl2(?: [01])?", "lgpl2"),
+    ("lgpl", "lgpl3(?: [01])?", "lgpl3"),
     ("agpl-3.0", "gnu affero general public licen[cs]e(?:(?: v| version)? ?3)?", "affero"),
-    ("agpl-3.0", "agpl(?:(?: v| version)? ?3(?: 0)?)?", "agpl"),
+    ("agpl-3.0", "agpl(?:(?: v ?| version ?| )3(?: 0)?)?", "agpl"),
+    ("agpl-3.0", "agpl3(?: 0)?", "agpl3"),
     ("gfdl", "gnu free documentation licen[cs]e(?:(?: v| version)? ?1(?: [123])?)?", "gnu"),
     ("gfdl", "gfdl", "gfdl"),
     ("apache", "apache(?: software)? licen[cs]e", "apache"),
     ("apache-1.1", "apache(?: software)? licen[cs]e(?: v| version)? ?1(?: [01])?", "apache"),
-    ("apache-2.0", "apache(?: software)?(?: licen[cs]e)?(?: v| version)? ?2(?: 0)?", "apache"),
+    ("apache-2.0", "apache(?: software(?: licen[cs]e)?(?: v| version)? ?| licen[cs]e(?: v| version)? ?| v ?| version ?| )2(?: 0)?", "apache"),
+    ("apache-2.0", "apache2(?: 0)?", "apache2"),
     ("mit", "mit(?: x11)? licen[cs]e", "mit"),
     ("mit", "expat licen[cs]e", "expat"),
     ("mit-0", "mit no attribution(?: licen[cs]e)?", "mit"),
     ("x11", "x11 licen[cs]e", "x11"),
     ("isc", "isc licen[cs]e", "isc"),
     ("bsd", "bsd(?: style)? licen[cs]e", "bsd"),
-    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?", "bsd"),
-    ("bsd-2-clause", "freebsd licen[cs]e", "freebsd"),
+    ("bsd-2-clause", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?", "bsd"),
+    ("bsd-2-clause", "freebsd(?: licen[cs]e)?", "freebsd"),
     ("bsd-3-clause", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[cs]e)?", "bsd"),
     ("bsd-4-clause", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?", "bsd"),
-    ("0bsd", "(?:0bsd|zero clause bsd)(?: licen[cs]e)?", "0bsd"),
+    ("0bsd", "0bsd(?: licen[cs]e)?", "0bsd"),
+    ("0bsd", "zero clause bsd(?: licen[cs]e)?", "zero"),
     ("mpl", "mozilla public licen[cs]e", "mozilla"),
     ("mpl-1.1", "mozilla public licen[cs]e(?: v| version)? ?1(?: [01])?", "mozilla"),
     ("mpl-2.0", "mozilla public licen[cs]e(?: v| version)? ?2(?: 0)?", "mozilla"),
-    ("mpl-2.0", "mpl(?: v| version)? ?2(?: 0)?", "mpl"),
+    ("mpl-2.0", "mpl(?: v ?| version ?| )2(?: 0)?", "mpl"),
+    ("mpl-2.0", "mpl2(?: 0)?", "mpl2"),
     ("epl", "eclipse public licen[cs]e(?:(?: v| version)? ?[12](?: 0)?)?", "eclipse"),
     ("edl", "eclipse distribution licen[cs]e(?:(?: v| version)? ?1(?: 0)?)?", "eclipse"),
     ("eupl", "european union public licen[cs]e(?:(?: v| version)? ?1(?: [12])?)?", "european"),
-    ("eupl", "eupl(?:(?: v| version)? ?1(?: [12])?)?", "eupl"),
+    ("eupl", "eupl(?:(?: v ?| version ?| )1(?: [12])?)?", "eupl"),
+    ("eupl", "eupl1(?: [12])?", "eupl1"),
     ("cddl", "common development and distribution licen[cs]e(?:(?: v| version)? ?1(?: [01])?)?", "development"),
-    ("cddl", "cddl(?:(?: v| version)? ?1(?: [01])?)?", "cddl"),
+    ("cddl", "cddl(?:(?: v ?| version ?| )1(?: [01])?)?", "cddl"),
+    ("cddl", "cddl1(?: [01])?", "cddl1"),
     ("cpl", "common public licen[cs]e(?:(?: v| version)? ?1(?: 0)?)?", "common"),
     ("ipl", "ibm public licen[cs]e(?:(?: v| version)? ?1(?: 0)?)?", "ibm"),
     ("artistic", "artistic licen[cs]e(?:(?: v| version)? ?[12](?: 0)?)?", "artistic"),
@@ -78,8 +88,10 @@ NAMES = (
     ("php", "php licen[cs]e(?:(?: v| version)? ?3(?: 01?)?)?", "php"),
     ("ruby", "ruby licen[cs]e", "ruby"),
     ("perl", "same terms as perl(?: itself)?", "perl"),
-    ("unlicense", "(?:the )?unlicen[cs]e", "unlicense"),
-    ("wtfpl", "wtfpl|do what the fuck you want to public licen[cs]e", "wtfpl"),
+    ("unlicense", "(?:the )?unlicense", "unlicense"),
+    ("unlicense", "(?:the )?unlicence", "unlicence"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("wtfpl", "do what the fuck you want to public licen[cs]e", "fuck"),
     ("ms-pl", "microsoft public licen[cs]e", "microsoft"),
     ("ms-rl", "microsoft reciprocal licen[cs]e", "microsoft"),
     ("osl", "open software licen[cs]e(?:(?: v| version)? ?3(?: 0)?)?", "open"),
@@ -93,7 +105,8 @@ NAMES = (
     ("pddl", "public domain dedication and licen[cs]e", "dedication"),
     ("ofl", "sil open font licen[cs]e(?:(?: v| version)? ?1(?: [01])?)?", "sil"),
     ("ofl", "open font licen[cs]e", "font"),
-    ("openrail", "(?:creativeml )?open ?rail(?: [ms])?(?: licen[cs]e)?", "openrail"),
+    ("openrail", "(?:creativeml )?openrail(?: [ms])?(?: licen[cs]e)?", "openrail"),
+    ("openrail", "(?:creativeml )?open rail(?: [ms])?(?: licen[cs]e)?", "rail"),
     ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0"),
     ("cc0", "creative commons zero(?: v?1(?: 0)?)?", "creative"),
     ("cc-by", "cc by(?: [1234](?: [05])?)?", "cc"),
