@@ -146,6 +146,23 @@ def test_top_k_against_brute_force(spark, tmp_path, monkeypatch):
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in rows} == want
 
 
+def test_top_k_of_components_of_any_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bitsliced, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    vectors = [(i, rng.normal(size=4).round(2).tolist()) for i in range(60)] + [(100 + i, (rng.normal(size=4) * 10.0 ** (4 + i)).tolist()) for i in range(20)]
+    vectors += [(150, [1e308, -1e308, 3.0, 70_000.5]), (151, [1.7e308, 1.0, 0.0, 0.0]), (152, [-1.7e308, 1.0, 0.0, 0.0]), (200, [65_536.25, -0.1, 0.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    folder = f"file://{tmp_path}/index"
+    bitsliced.build_index(df, folder)
+    rows = bitsliced.search(spark, folder, df.where("vec_id % 50 = 0"), 5).collect()
+    good = {i: [(lambda a, b: 256 * a // b)(*x.as_integer_ratio()) for x in v] for i, v in vectors}
+    most, want = (1 << 63) - 1, set()
+    for q in (i for i in good if i % 50 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)
+        want |= {(q, k + 1, i, max(-most, min(most, -s))) for k, (s, i) in enumerate(scores[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in rows} == want
+
+
 def test_top_k_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     bitsliced.build_index(df, f"file://{tmp_path}/none")

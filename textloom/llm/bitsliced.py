@@ -7,11 +7,13 @@ bitmap arithmetic: full adders over whole slices turn three bitmaps of a weight
 sum's slices then give the top rows from the most significant down: a bitmap of rows that are in for sure and one of rows that
 are level so far. What is level at the end is the boundary, resolved exactly by score and vec_id.
 
-Blocks are searched with groups of queries, each pair of files a piece of work of its own; the best k of each meet by query.
+Vectors with a component beyond LARGEST / scale, whose products could leave 64 bits, lie in files of their own and are compared in
+Python's integers, as candidates and as queries. Ranks are exact; a score beyond 64 bits is given as the nearest number of 64 bits.
 
-Vectors that are null or hold null or non-finite components take no part, nor those with a component beyond 65,536, whose
-products could leave 64 bits. Vectors are compared with those of their own length. Rows that share a vec_id are rows of
-their own, but none is a candidate of a query with its id. A null vec_id takes no part; an empty table gives no row; other
+Blocks are searched with groups of queries, each pair of files a piece of work of its own; the best k of each meet by the query's row.
+
+Vectors that are null or hold null or non-finite components take no part. Vectors are compared with those of their own length. Rows that share a vec_id are rows of
+their own, as candidates and as queries, but none is a candidate of a query with its id. A null vec_id takes no part; an empty table gives no row; other
 columns are ignored.
 """
 
@@ -32,19 +34,29 @@ BLOCK = 1 << 15
 QUERIES = 512
 LARGEST = 1 << 24
 MANIFEST = "file string, rows long, width int"
-FOUND = "query_id long, vec_id long, score long"
+#: What a number has to be less than in size to be a score, and an offset that makes any other one positive.
+BEYOND, OFFSET = 1 << 63, 1 << 2200
+FOUND = "query_row long, query_id long, vec_id long, score long, beyond int, wide binary"
 
 
-def quantised(vectors: pa.Array, scale: int) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector, None for those that take no part."""
+def finite(vectors: pa.Array) -> list[np.ndarray | None]:
+    """Each vector, None for those that take no part."""
     out: list[np.ndarray | None] = []
     for v in vectors:
         x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid and not v.values.null_count and len(v.values) else None
-        x = np.floor(x * scale) if x is not None and np.isfinite(x).all() else None
-        out.append(x.astype(np.int64) if x is not None and np.abs(x).max() <= LARGEST else None)
+        out.append(x if x is not None and np.isfinite(x).all() else None)
     return out
 
 
+def whole_numbers(raw: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) in Python's integers, without rounding or overflow."""
+    def one(x: float) -> int:
+        above, below = x.as_integer_ratio()
+        return scale * above // below
+
+    return np.array([[one(x) for x in row] for row in raw.tolist()], object)
+
+
 def sliced(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least value and bits of each column, and all slices, column by column from the lowest bit, rows in 64-bit words."""
     least = values.min(0)
@@ -141,17 +153,23 @@ def search_block(block: dict[str, np.ndarray], query_id: int, query: np.ndarray,
     return ids[best], scores[best]
 
 
+def exact_best(ids: np.ndarray, values: np.ndarray, query_id: int, query: np.ndarray, k: int) -> tuple[list[int], list[int]]:
+    """search_block for arrays of Python's integers."""
+    best = sorted((-score, vec_id) for vec_id, score in zip(ids.tolist(), (values @ query).tolist(), strict=True) if vec_id != query_id)[:k]
+    return [i for _, i in best], [-s for s, _ in best]
+
+
 def write_blocks(vectors: DataFrame, folder: str, rows: int, slices: bool, scale: int) -> DataFrame:
-    """vectors: vec_id, embedding. Writes files of up to `rows` vectors of one length; returns their manifest, kept there too."""
+    """vectors: vec_id, embedding. Writes files of up to `rows` vectors of one length, wide ones apart; returns their manifest, kept there too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(folder)
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[tuple[int, bool], tuple[list, list]] = {}
 
-        def store(width: int) -> pa.RecordBatch:
-            ids, values = held.pop(width)
-            block = {"ids": np.array(ids, np.int64), "values": np.array(values, np.int32)}
-            if slices:
+        def store(width: int, wide: bool) -> pa.RecordBatch:
+            ids, values = held.pop((width, wide))
+            block = {"ids": np.array(ids, np.int64), **({"raw": np.array(values)} if wide else {"values": np.array(values, np.int32)})}
+            if slices and not wide:
                 block["least"], block["bits"], block["planes"] = sliced(np.array(values, np.int64))
             name, data = f"{uuid.uuid4().hex}.npz", io.BytesIO()
             np.savez(data, **block)
@@ -161,15 +179,18 @@ def write_blocks(vectors: DataFrame, folder: str, rows: int, slices: bool, scale
             return pa.record_batch([pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([width], pa.int32())], ["file", "rows", "width"])
 
         for batch in batches:
-            for vec_id, values in zip(batch.column(0).to_pylist(), quantised(batch.column(1), scale), strict=True):
-                if vec_id is not None and values is not None:
-                    own = held.setdefault(len(values), ([], []))
+            for vec_id, raw in zip(batch.column(0).to_pylist(), finite(batch.column(1)), strict=True):
+                if vec_id is not None and raw is not None:
+                    with np.errstate(over="ignore"):
+                        values = np.floor(raw * scale)
+                    wide = bool(np.abs(values).max() > LARGEST)
+                    own = held.setdefault((len(raw), wide), ([], []))
                     own[0].append(vec_id)
-                    own[1].append(values.astype(np.int32))
+                    own[1].append(raw if wide else values.astype(np.int32))
                     if len(own[0]) == rows:
-                        yield store(len(values))
-        for width in list(held):
-            yield store(width)
+                        yield store(len(raw), wide)
+        for kind in list(held):
+            yield store(*kind)
 
     vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(lean(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return vectors.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -199,13 +220,20 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, scale:
         fs, top = file_system(folder)
         fs_asked, top_asked = file_system(asked)
         for batch in batches:
-            for name, asked_name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, asked_name, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 block, own = load_block(fs, f"{top}/{name}"), load_block(fs_asked, f"{top_asked}/{asked_name}")
-                out = [(q, *search_block(block, q, v, k)) for q, v in zip(own["ids"].tolist(), own["values"].astype(np.int64), strict=True)]
-                columns = [np.repeat([o[0] for o in out], [len(o[1]) for o in out]), *(np.concatenate([o[i] for o in out]) for i in (1, 2))]
-                yield pa.record_batch([pa.array(c.astype(np.int64)) for c in columns], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("file", "queries").repartition(max(1, n_groups * n_blocks)).mapInArrow(lean(run), FOUND)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id"))), 1, k)
+                rows = [(n << 32) + at for at in range(len(own["ids"]))]
+                if "raw" in block or "raw" in own:
+                    values, asking = (whole_numbers(x["raw"], scale) if "raw" in x else x["values"].astype(object) for x in (block, own))
+                    out = [(row, q, *exact_best(block["ids"], values, q, v, k)) for row, q, v in zip(rows, own["ids"].tolist(), asking, strict=True)]
+                else:
+                    out = [(row, q, *(x.tolist() for x in search_block(block, q, v, k))) for row, q, v in zip(rows, own["ids"].tolist(), own["values"].astype(np.int64), strict=True)]
+                lines = [(row, q, i, score, 0, None) if abs(score) < BEYOND else (row, q, i, BEYOND - 1 if score > 0 else 1 - BEYOND, 1 if score > 0 else -1, (OFFSET - score).to_bytes(300, "big")) for row, q, ids, scores in out for i, score in zip(ids, scores, strict=True)]
+                kinds = (*(pa.int64(),) * 4, pa.int32(), pa.binary())
+                yield pa.record_batch([pa.array([x[c] for x in lines], kind) for c, kind in enumerate(kinds)], ["query_row", "query_id", "vec_id", "score", "beyond", "wide"])
+
+    found = pairs.select("file", "queries", "n").repartition(max(1, n_groups * n_blocks)).mapInArrow(lean(run), FOUND)
+    order = F.struct((-F.col("beyond")).alias("under"), (-F.col("score")).alias("down"), "wide", "vec_id")
+    best = F.slice(F.array_sort(F.collect_list(order)), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.down")).alias("score"))
