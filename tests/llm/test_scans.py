@@ -163,6 +163,20 @@ def test_top_k_of_components_of_any_size(spark, tmp_path, monkeypatch):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in rows} == want
 
 
+def test_top_k_of_repeated_query_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    vectors = [(i, rng.normal(size=4).round(2).tolist()) for i in range(1, 40)]
+    asked = [(0, [1.0, 2.0, -1.0, 0.5]), (0, [1.0, 2.0, -1.0, 0.5]), (50, [1.0, 0.0, 0.0, 0.0]), (50, [-1.0, 0.0, 0.0, 1.0])]
+    folder = f"file://{tmp_path}/index"
+    bitsliced.build_index(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), folder)
+    rows = bitsliced.search(spark, folder, spark.createDataFrame(asked, "vec_id long, embedding array<double>"), 5).collect()
+    good, want = {i: [int(np.floor(256 * x)) for x in v] for i, v in vectors}, []
+    for q, v in asked:
+        scores = sorted((-sum(a * int(256 * b) for a, b in zip(x, v)), i) for i, x in good.items())
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in rows) == sorted(want)
+
+
 def test_top_k_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     bitsliced.build_index(df, f"file://{tmp_path}/none")

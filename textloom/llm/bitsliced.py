@@ -235,5 +235,5 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, scale:
     found = pairs.select("file", "queries", "n").repartition(max(1, n_groups * n_blocks)).mapInArrow(lean(run), FOUND)
     order = F.struct((-F.col("beyond")).alias("under"), (-F.col("score")).alias("down"), "wide", "vec_id")
     best = F.slice(F.array_sort(F.collect_list(order)), 1, k)
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
+    ranked = found.groupBy("query_row", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.down")).alias("score"))
