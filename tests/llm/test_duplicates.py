@@ -58,6 +58,15 @@ def test_near_duplicates_of_odd_tables(spark):
     assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
+def test_documents_without_an_id_stay(spark):
+    w = " ".join(text(40))
+    rows = [(None, w, 1), (None, " ".join(text(40)), 2), (3, w, 3), (4, w, 4), (None, None, 5), (None, w, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    found = [(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.near_duplicates(df).collect()]
+    assert sorted(found, key=str) == sorted([(None, None, 0)] * 4 + [(3, 3, 0), (4, 3, 0)], key=str)
+    assert sorted(r.n for r in jaccard_join.first_of_class(df).collect()) == [1, 2, 3, 5, 6]
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.99), (0.95, 0.9)):
         bands, rows = jaccard_join.bands_for(threshold, recall)

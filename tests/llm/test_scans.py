@@ -37,6 +37,12 @@ def test_decontamination_without_items_or_documents(spark):
     assert decontamination.clean(docs, none).count() == 1
 
 
+def test_decontamination_judges_documents_without_an_id_by_their_text(spark):
+    item = some(12)
+    docs = spark.createDataFrame([(None, "x " + item, 1), (None, "clean", 2), (None, None, 3), (4, item, 4), (5, "clean", 5)], "doc_id long, text string, n int")
+    assert sorted(r.n for r in decontamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()) == [2, 3, 5]
+
+
 def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 0)
     items, docs = [(1, some(12))], [(k, some(40)) for k in range(9)]

@@ -90,6 +90,11 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10, share: float = 0.0) -> DataFrame:
-    """The documents of whose words no more than `share` are in windows of items; rows that share an id stay or go together."""
-    bad = contaminated(docs, items, size).where(F.col("n_hit") > F.col("n_words") * share).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """The documents of whose words no more than `share` are in windows of items.
+
+    Rows that share an id stay or go together; those whose id is null are documents of their own, told apart by their text.
+    """
+    nameless = F.when(docs["doc_id"].isNull(), F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    found = contaminated(docs.select(F.struct(docs["doc_id"].alias("id"), nameless.alias("digest")).alias("doc_id"), "text"), items, size)
+    bad = found.where(F.col("n_hit") > F.col("n_words") * share).select(F.col("doc_id.id").alias("bad_id"), F.col("doc_id.digest").alias("bad_digest")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & nameless.eqNullSafe(bad["bad_digest"]), "left_anti")

@@ -9,7 +9,8 @@ compared in the first of them. Comparisons grow with the square of a group of te
 rows do not: a tile tells how many links each text has and a spanning tree of them.
 
 Null texts and those without words are alone in their class. A text of fewer words than the n-gram is one n-gram. Rows that
-share an id are one document, in the class of either text. An empty table gives no row. Other columns are ignored.
+share an id are one document, in the class of either text. Rows whose id is null are documents of their own:
+each has a row with a null class_id and no links, and first_of_class keeps them all. An empty table gives no row. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -225,15 +226,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (of its text)."""
     bands, rows = bands_for(threshold, recall)
     signed = kept(signatures(docs, n, bands, rows), "signatures")
-    texts = kept(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
-    ends, links = links_of(texts, signed.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "words"), n, threshold)
+    named = signed.where("doc_id IS NOT NULL")
+    texts = kept(named.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
+    ends, links = links_of(texts, named.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "words"), n, threshold)
     labels = components(links).withColumnRenamed("node", "id")
     classes = texts.select("key", "id").join(ends, "id", "left").join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows_of = signed.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    rows_of = named.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nameless = signed.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return rows_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")).unionByName(nameless)
 
 
 def first_of_class(docs: DataFrame, **options) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their class."""
+    """The documents without those that have a smaller doc_id in their class; those without a doc_id stay."""
     firsts = near_duplicates(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(firsts, docs["doc_id"] == firsts["kept_id"], "left_semi")
+    return docs.join(firsts, docs["doc_id"] == firsts["kept_id"], "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
