@@ -120,6 +120,17 @@ def test_common_lines_shorter_than_a_passage_lose_no_passage(spark):
     assert {r.doc_id for r in substring.repeated_passages(df).collect()} == set(brute.repeats(docs))
 
 
+def test_longer_passages_around_one_of_the_smallest_document_are_found(spark):
+    docs = []
+    for _ in range(40):
+        shared, more = text(60), text(10)
+        docs += [(len(docs) + k, " ".join(text(30) + w + text(30))) for k, w in enumerate((shared, shared + more, shared + more))]
+    found = {}
+    for row in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect():
+        found.setdefault(row.doc_id, set()).update(range(row.start_word, row.end_word))
+    assert [] == [doc for doc, hit in brute.repeats(docs).items() if not hit <= found.get(doc, set())]
+
+
 def test_passages_of_odd_tables(spark):
     assert substring.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     w = " ".join(text(80))
