@@ -205,10 +205,10 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> tu
     texts: id, key, bands; words: id, key, words. A pair counts in its first common bucket.
     Sizes are a checkpoint: joins of plain shuffles are those that Spark can split where a bucket has too many rows.
     """
-    split = texts.select("id", "key", "bands", F.explode("bands").alias("bucket"))
+    split = texts.select("id", "key", F.explode("bands").alias("bucket"))
     sizes = split.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
     members = held(split.join(sizes, "bucket"))
-    few, many = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL).drop("bands")
+    few, many = members.where(F.col("n") <= SMALL).join(texts, ["id", "key"]), members.where(F.col("n") > SMALL)
     own, other = (few.select("bucket", F.col("id").alias(x), F.col("bands").alias(f"bands_{x}")) for x in "ab")
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.array_position("bands_a", F.col("bucket"))
     pairs = own.join(other, "bucket").where("a < b").where(first).select("a", "b").distinct().checkpoint()
