@@ -1,21 +1,25 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
 Texts of the same words are one class from the start; only one of each, its smallest doc_id, enters the bands. Band and
-row counts follow from the threshold and the recall asked for. Texts that
-share a band's hash are a bucket, and all pairs of a bucket are compared, whatever its size. A bucket of up to SMALL texts
-gives its pairs by a join. A larger one is dealt into parts of some TILE texts by a hash; each two parts are a tile, a piece of
-work of its own, whose n-gram sets are compared by products of matrices. A pair of several common buckets is
-compared in the first of them. Comparisons grow with the square of a group of texts that are all alike, for each link counts;
-rows do not: a tile tells how many links each text has and a spanning tree of them.
+row counts follow from the threshold and the recall asked for. Texts that share a band's hash are a bucket, and all pairs
+of a bucket are compared, whatever its size; a pair of several common buckets is compared in the first of them. A bucket of up to
+SMALL texts gives its pairs by a join. A larger one is dealt into parts of some PART texts by a hash. Each part is compared
+within, by products of matrices; if it isn't the only one, its n-gram sets are written to a file, and the files of a bucket
+are compared two by two, a task holding two of them. So what is shuffled, written and returned is in proportion to a bucket's texts, while
+comparisons grow with the square of a group of texts that are all alike, for each link counts.
 
 Null texts and those without words are alone in their class. A text of fewer words than the n-gram is one n-gram. Rows that
 share an id are one document, in the class of either text. Rows whose id is null are documents of their own:
 each has a row with a null class_id and no links, and first_of_class keeps them all. An empty table gives no row. Other columns are ignored.
+Words are told apart by CRC-32: a word counts as another one with a probability of 2 ** -32.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil, log
 
@@ -25,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import BROADCAST_KEYS, held, kept, lean, only_keys, texts_of, words_of
+from textloom.llm.shared import BROADCAST_KEYS, file_system, held, kept, lean, only_keys, texts_of, words_of, work_folder
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
 SMALL = 32
-#: Texts in a part of a larger bucket, and n-grams in a matrix.
-TILE, COLUMNS = 128, 1 << 13
+#: Texts in a part of a larger bucket, n-grams in a matrix, files that one file meets in a piece of work.
+PART, COLUMNS, MET = 512, 1 << 12, 32
+FOUND = "a long, b long, n long, bucket long, part int, file string"
+#: Texts whose links a task counts before it passes them on.
+COUNTED = 1 << 18
 
 
 def bands_for(threshold: float, recall: float, most: int = 96) -> tuple[int, int]:
@@ -89,7 +96,7 @@ def verified(pairs: DataFrame, words: DataFrame, n: int, threshold: float) -> Da
     Both texts of a pair meet by the pair, not by a text, so a text of many pairs is no hot key.
     """
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    few = pairs.count() <= BROADCAST_KEYS // 2
+    few = pairs.count() <= BROADCAST_KEYS // 8  # two rows of three numbers a pair
     met = words.join(F.broadcast(sides) if few else sides, "id").groupBy("a", "b").agg(F.collect_set(F.struct("id", "words")).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,44 +119,104 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return jaccard(a, b) if min(len(a), len(b)) >= threshold * max(len(a), len(b)) else 0.0
 
 
-def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of the left has in common with each of the right; sets are sorted, without repeats."""
-    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    places = [[np.flatnonzero(np.isin(shared, x, assume_unique=True)) for x in side] for side in (left, right)]
-    out = np.zeros((len(left), len(right)), np.int64)
+class Part:
+    """Texts of a bucket: ids, bands (a row each), and their n-gram sets, end to end with the size of each."""
+
+    def __init__(self, ids: np.ndarray, bands: np.ndarray, sizes: np.ndarray, grams: np.ndarray):
+        self.ids, self.bands, self.sizes, self.grams = ids, bands, sizes, grams
+
+    @classmethod
+    def of(cls, rows: list[tuple], n: int) -> Part:
+        """rows: id, bands, words (hashes)."""
+        sets = [np.unique(ngrams(np.frombuffer(r[2], "<u4"), n)) for r in rows]
+        return cls(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([len(x) for x in sets]), np.concatenate(sets))
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=self.ids, bands=self.bands, sizes=self.sizes, grams=self.grams)
+        return out.getvalue()
+
+    @classmethod
+    def read(cls, fs, path: str, size: int) -> Part:
+        with fs.open_input_file(path) as source:
+            data = np.load(io.BytesIO(pa.decompress(source.read(), size, "zstd", asbytes=True)))
+        return cls(*(data[k] for k in ("ids", "bands", "sizes", "grams")))
+
+
+def common(left: Part, right: Part) -> np.ndarray:
+    """How many n-grams each text of the left has in common with each other one of the right."""
+    if left is right:
+        values, counts = np.unique(left.grams, return_counts=True)
+        shared = values[counts > 1]
+    else:
+        shared = np.intersect1d(left.grams, right.grams)
+    out = np.zeros((len(left.ids), len(right.ids)), np.int64)
+    if not len(shared):
+        return out
+    places = []
+    for part in (left, right):
+        at = np.minimum(np.searchsorted(shared, part.grams), len(shared) - 1)
+        has = shared[at] == part.grams
+        places.append((np.repeat(np.arange(len(part.ids)), part.sizes)[has], at[has]))
     for at in range(0, len(shared), COLUMNS):
-        width = min(COLUMNS, len(shared) - at)
-        sides = [np.zeros((len(side), width), np.float32) for side in places]
-        for matrix, side in zip(sides, places, strict=True):
-            for row, x in enumerate(side):
-                lo, hi = np.searchsorted(x, (at, at + width))
-                matrix[row, x[lo:hi] - at] = 1
+        sides = []
+        for part, (row, column) in zip((left, right), places, strict=True):
+            here = (column >= at) & (column < at + COLUMNS)
+            matrix = np.zeros((len(part.ids), min(COLUMNS, len(shared) - at)), np.float32)
+            matrix[row[here], column[here] - at] = 1
+            sides.append(matrix)
         out += (sides[0] @ sides[1].T).astype(np.int64)
     return out
 
 
-def tile_links(rows: list[tuple], bucket: int, i: int, j: int, n: int, threshold: float) -> list[tuple]:
-    """What `tiled` returns of parts i and j, without the pairs of an earlier common bucket; rows: part, id, bands, words."""
-    left, right = ([r for r in rows if r[0] == part] for part in (i, j))
-    if not left or not right:
-        return []
-    ids = [np.array([r[1] for r in side], np.int64) for side in (left, right)]
-    todo = ids[0][:, None] != ids[1][None, :]
-    if i == j:
-        todo &= np.tri(len(left), k=-1, dtype=bool)
-    bands = [np.array([r[2] for r in side], np.int64) for side in (left, right)]
-    for band in range(int(np.flatnonzero(bands[0][0] == bucket)[0])):
-        todo &= bands[0][:, None, band] != bands[1][None, :, band]
+def links_between(left: Part, right: Part, bucket: int, threshold: float) -> np.ndarray:
+    """Which texts of two parts (or of one, given twice: each pair once) are similar enough and have no earlier bucket in common."""
+    todo = left.ids[:, None] != right.ids[None, :]
+    if left is right:
+        todo &= np.tri(len(left.ids), k=-1, dtype=bool)
+    for band in range(int(np.flatnonzero(left.bands[0] == bucket)[0])):
+        todo &= left.bands[:, None, band] != right.bands[None, :, band]
+    least, most = (f(left.sizes[:, None], right.sizes[None, :]) for f in (np.minimum, np.maximum))
+    todo &= least >= threshold * most
     if not todo.any():
-        return []
-    sets = [np.unique(ngrams(np.frombuffer(r[3], "<u4"), n)) for r in left]
-    sets = [sets, sets if i == j else [np.unique(ngrams(np.frombuffer(r[3], "<u4"), n)) for r in right]]
-    sizes, both = [np.array([len(x) for x in side]) for side in sets], common(*sets)
-    good = todo & (both / (sizes[0][:, None] + sizes[1][None, :] - both) >= threshold)
-    nodes = ids[0] if i == j else np.concatenate(ids)
-    linked = good if i == j else np.block([[np.zeros((len(left),) * 2, bool), good], [np.zeros((len(right), len(left) + len(right)), bool)]])
-    linked = linked | linked.T
-    return [(a, None, k) for a, k in zip(nodes.tolist(), linked.sum(1).tolist(), strict=True) if k] + [(int(min(nodes[[x, y]])), int(max(nodes[[x, y]])), 0) for x, y in forest(linked)]
+        return todo
+    both = common(left, right)
+    return todo & (both / (left.sizes[:, None] + right.sizes[None, :] - both) >= threshold)
+
+
+class Links:
+    """Counts the links of each text, and keeps those that lead wherever all of them lead."""
+
+    def __init__(self):
+        self.counts: Counter[int] = Counter()
+        self.over: dict[int, int] = {}  # a text to a smaller one of its component
+
+    def _top(self, x: int) -> int:
+        while (up := self.over.get(x, x)) != x:
+            self.over[x] = self.over.get(up, up)
+            x = up
+        return x
+
+    def add(self, left: Part, right: Part, linked: np.ndarray) -> None:
+        for part, n in ((left, linked.sum(1)), (right, linked.sum(0))):
+            for k in np.flatnonzero(n).tolist():
+                self.counts[int(part.ids[k])] += int(n[k])
+        whole = linked | linked.T if left is right else np.block([[np.zeros((len(left.ids),) * 2, bool), linked], [linked.T, np.zeros((len(right.ids),) * 2, bool)]])
+        nodes = left.ids if left is right else np.concatenate([left.ids, right.ids])
+        for x, y in forest(whole):
+            a, b = self._top(int(nodes[x])), self._top(int(nodes[y]))
+            if a != b:
+                self.over[max(a, b)] = min(a, b)
+
+    def rows(self) -> list[tuple]:
+        """a, null, the number of its links; a, b, 0 for a link that keeps a component together."""
+        return [(a, None, n) for a, n in self.counts.items()] + [(b, a, 0) for a, b in self.over.items()]
+
+
+def found_batch(links: list[tuple], files: list[tuple] = ()) -> pa.RecordBatch:
+    rows = [(*x, None, None, None) for x in links] + [(None, None, size, bucket, part, name) for bucket, part, name, size in files]
+    kinds = (*(pa.int64(),) * 4, pa.int32(), pa.string())
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "n", "bucket", "part", "file"])
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -167,36 +234,71 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def tiled(many: DataFrame, texts: DataFrame, words: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Of the links in large buckets: a, null, the number of its links in a tile; a, b, 0 of links that join what a tile's links join.
+def within_parts(many: DataFrame, texts: DataFrame, words: DataFrame, n: int, threshold: float, folder: str) -> DataFrame:
+    """The links within the parts of large buckets (see Links.rows), and a row for each file of a part that isn't its bucket's only one.
 
-    So rows stay in proportion to a tile's texts, not to its links. many: bucket, n (its size), id, key; texts: id, key, bands; words: id, key, words.
+    many: bucket, n (its size), id, key; texts: id, key, bands; words: id, key, words.
     """
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = many.withColumn("part", F.pmod(F.xxhash64("id", "key"), parts).cast("int")).select("bucket", "id", "key", "part", F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "key")
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = many.select("bucket", "id", "key", parts.alias("parts"), F.pmod(F.xxhash64("id", "key"), parts).cast("int").alias("part"))
     wanted = many.select("id").distinct().checkpoint()
     content = only_keys(texts, wanted, "id").join(only_keys(words, wanted, "id").dropDuplicates(["id", "key"]), ["id", "key"]).checkpoint()
-    place = ["bucket", "i", "j"]
-    loaded = dealt.join(content, ["id", "key"]).select(*place, "part", "id", "bands", "words").repartition(*place).sortWithinPartitions(*place)
+    place = ["bucket", "part"]
+    loaded = dealt.join(content, ["id", "key"]).select(*place, "parts", "id", "bands", "words").repartition(*place).sortWithinPartitions(*place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            links = tile_links(rows, *now, n, threshold)
-            return pa.record_batch([pa.array([x[k] for x in links], t) for k, t in enumerate((pa.int64(),) * 3)], ["a", "b", "n"])
+        fs, top = file_system(folder)
+
+        def out(bucket: int, number: int, parts: int) -> pa.RecordBatch:
+            part, links, files = Part.of(rows, n), Links(), []
+            links.add(part, part, links_between(part, part, bucket, threshold))
+            if parts > 1:
+                name, data = f"{uuid.uuid4().hex}.part", part.to_bytes()
+                fs.create_dir(top, recursive=True)
+                with fs.open_output_stream(f"{top}/{name}") as sink:
+                    sink.write(pa.compress(data, "zstd", asbytes=True))
+                files.append((bucket, number, name, len(data)))
+            return found_batch(links.rows(), files)
 
         now, rows = None, []
         for batch in batches:
-            for at, row in zip(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), zip(*(batch.column(k).to_pylist() for k in range(3, 7)), strict=True), strict=True):
+            for at, row in zip(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), zip(*(batch.column(k).to_pylist() for k in range(3, 6)), strict=True), strict=True):
                 if at != now:
                     if rows:
-                        yield out()
+                        yield out(*now)
                     now, rows = at, []
                 rows.append(row)
         if rows:
-            yield out()
+            yield out(*now)
+
+    return loaded.mapInArrow(lean(run), FOUND)
+
+
+def between_parts(files: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """The links between the parts of a bucket (see Links.rows). Files stand in a ring, and each meets the next half of it."""
+    listed = files.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("part", "file", "n"))).alias("ring"))  # a row a file
+    size = F.size("ring")
+    each = listed.select("bucket", "ring", size.alias("size"), F.explode(F.sequence(F.lit(0), size - 1)).alias("i"))
+    half = F.floor((F.col("size") - 1) / 2) + F.when((F.col("size") % 2 == 0) & (F.col("i") < F.col("size") / 2), 1).otherwise(0)
+    at = lambda k: F.get("ring", ((F.col("i") + k) % F.col("size")).cast("int"))
+    met = each.where(half > 0).select("bucket", at(F.lit(0)).alias("own"), F.explode(F.sequence(F.lit(1), half.cast("int"), F.lit(MET))).alias("from"), half.cast("int").alias("half"), "ring", "i", "size")
+    work = met.select("bucket", "own", F.transform(F.sequence("from", F.least("half", F.col("from") + MET - 1)), at).alias("others"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = file_system(folder)
+        links = Links()
+        for batch in batches:
+            for bucket, own, others in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                left = Part.read(fs, f"{top}/{own['file']}", own["n"])
+                for other in others:
+                    right = Part.read(fs, f"{top}/{other['file']}", other["n"])
+                    links.add(left, right, links_between(left, right, bucket, threshold))
+                    if len(links.counts) >= COUNTED:
+                        yield found_batch(links.rows())
+                        links = Links()
+        yield found_batch(links.rows())
 
-    return loaded.mapInArrow(lean(run), "a long, b long, n long")
+    return work.repartition(F.xxhash64("bucket", F.col("own.part"))).mapInArrow(lean(run), FOUND)
 
 
 def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -215,14 +317,17 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> tu
     found = verified(pairs, words.select("id", "words"), n, threshold).select("a", "b").checkpoint()
     ends = found.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n"))
     if not many.isEmpty():
-        tiles = tiled(many, texts, words, n, threshold).checkpoint()
-        ends = ends.unionByName(tiles.where("b IS NULL").select(F.col("a").alias("id"), "n"))
-        found = found.unionByName(tiles.where("b IS NOT NULL").select("a", "b"))
+        folder = work_folder(texts.sparkSession, "parts")
+        inner = within_parts(many, texts, words, n, threshold, folder).checkpoint()
+        outer = between_parts(inner.where("file IS NOT NULL").select("bucket", "part", "file", "n"), threshold, folder).checkpoint()
+        large = inner.unionByName(outer).where("file IS NULL")
+        ends = ends.unionByName(large.where("b IS NULL").select(F.col("a").alias("id"), "n"))
+        found = found.unionByName(large.where("b IS NOT NULL").select("a", "b"))
     members.unpersist()
     return ends.groupBy("id").agg(F.sum("n").alias("n_links")), found
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (of its text)."""
     bands, rows = bands_for(threshold, recall)
     signed = kept(signatures(docs, n, bands, rows), "signatures")
