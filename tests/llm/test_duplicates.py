@@ -38,7 +38,8 @@ def test_near_duplicates_are_those_of_brute_force(spark):
 
 
 def test_links_in_large_buckets_are_those_of_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TILE", 20)
+    monkeypatch.setattr(jaccard_join, "PART", 20)
+    monkeypatch.setattr(jaccard_join, "MET", 2)
     base = text(150)
     docs = [(i, " ".join(edited(base, i % 4))) for i in range(120)] + [(200 + i, " ".join(text(60))) for i in range(20)]
     sets = {}
@@ -68,7 +69,7 @@ def test_documents_without_an_id_stay(spark):
 
 
 def test_bands_reach_the_recall():
-    for threshold, recall in ((0.8, 0.999), (0.5, 0.99), (0.95, 0.9)):
+    for threshold, recall in ((0.8, 0.9999), (0.8, 0.999), (0.5, 0.99), (0.95, 0.9)):
         bands, rows = jaccard_join.bands_for(threshold, recall)
         assert 1 - (1 - threshold**rows) ** bands >= recall
 
@@ -80,13 +81,55 @@ def test_components(spark):
     assert all(found[100 + k] == 100 for k in range(41))
 
 
-def test_compact_windows_hold_every_range():
-    values = ngrams(substring.hashed([w.encode() for w in text(120)]), 5)
-    found = substring.compact_windows(values, 10)
-    for i in range(len(values) - 10):
-        for j in (i + 10, min(len(values), i + 37)):
-            c = i + int(values[i:j].argmin())
-            assert any(lo <= i and j <= hi and centre == c for lo, centre, hi in found)
+def test_compact_windows_are_nodes_of_the_tree(monkeypatch):
+    monkeypatch.setattr(substring, "CHUNK", 64)
+    grams = ngrams(substring.hashed([w.encode() for w in text(200)]), 5)
+    values = grams * substring.functions_of(0)[:, None]
+    want = set()  # at each place the least values of each band's functions
+    for p in range(len(grams) - 46 + 1):
+        for band in range(substring.BANDS):
+            want.add((band, *(int(values[band * substring.ROWS + r, p : p + 46].min()) for r in range(substring.ROWS)), p))
+    keys, starts, ends = substring.overlaps(grams, 46)
+    covered = [p for s, e in zip(starts, ends, strict=True) for p in range(s, e)]
+    assert sorted(covered) == sorted(p for *_, p in want)
+    by_place = {}
+    for key, s, e in zip(keys.tolist(), starts, ends, strict=True):
+        for p in range(s, e):
+            by_place.setdefault(p, set()).add(key)
+    by_values = {}
+    for *values_of, p in want:
+        by_values.setdefault(tuple(values_of), []).append(p)
+    for places in by_values.values():  # equal least values, equal signature
+        assert set.intersection(*(by_place[p] for p in places))
+
+
+def planted(words, edits, n, between=0):
+    """n groups of documents with a passage that differs in `edits` words; `between`: a smaller document has 30 words of it."""
+    docs, pairs = [], []
+    for _ in range(n):
+        passage = text(words)
+        if between:
+            docs.append(text(40) + passage[: words // 2 + 5] + text(40))
+        docs += [text(60) + passage + text(60), text(60) + edited(passage, edits) + text(60)]
+        pairs.append(len(docs) - 1)
+    return [(i, " ".join(w)) for i, w in enumerate(docs)], pairs
+
+
+def test_edited_passages_are_found_at_any_length(spark):
+    cases = [(50, 1), (60, 1), (80, 1), (100, 2), (150, 3), (200, 4)]
+    for between in (0, 1):
+        docs, want = [], {}
+        for case in cases:
+            rows, last = planted(*case, 60, between)
+            want[case] = [len(docs) + i for i in last]
+            docs += [(len(docs) + i, t) for i, t in rows]
+        found = {}
+        for r in substring.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect():
+            found.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        for (words, edits), ids in want.items():
+            hit = sum(len(found.get(i, set()) & set(range(60, 60 + words))) >= 0.8 * words for i in ids)
+            assert hit >= 0.9 * len(ids), (words, edits, between, hit)
+            assert all(len(found.get(i, set()) - set(range(60, 60 + words))) <= 5 for i in ids)
 
 
 def passages():

@@ -56,11 +56,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(table(spark, sf_dir, "documents"), least=50, threshold=0.8, hashes=2)
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), least=50, threshold=0.8)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.999)
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8, recall=0.9999)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

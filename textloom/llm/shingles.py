@@ -15,17 +15,27 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), "<u4", len(words))
 
 
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number for each run that is a run of the left followed by one of the right."""
+    out = (left ^ (left >> np.uint64(29))) * _MIX + right
+    return (out ^ (out >> np.uint64(32))) * _STEP
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit number for each run of n words; a text of fewer words, but not none, is one run."""
     if not len(words):
         return np.empty(0, np.uint64)
     n = min(n, len(words))
-    size = len(words) - n + 1
-    out = np.full(size, n, np.uint64)
-    for k in range(n):
-        out ^= out >> np.uint64(29)
-        out = (out + words[k : k + size]) * _STEP
-    return mixed(out)
+    size, rest, length, at, out = len(words) - n + 1, n, 1, 0, None
+    power = words.astype(np.uint64)  # numbers of the runs of `length` words, which doubles
+    while rest:
+        if rest & 1:
+            piece = power[at : at + size]
+            out, at = piece if out is None else joined(out, piece), at + length
+        rest >>= 1
+        if rest:
+            power, length = joined(power[:-length], power[length:]), 2 * length
+    return mixed(out + np.uint64(n))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
