@@ -20,6 +20,39 @@ def test_ids_are_those_of_the_library(name, spark):
         assert own.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_every_character_are_those_of_the_library(name):
+    own, whole = TextEncoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    own.left = 0
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c}a{c} {c}B{c}{c}\n" for c in every[k : k + 8]) for k in range(0, 0x900, 8)]
+    texts += ["".join(f"{c}a {c}" for c in every[k : k + 40]) for k in range(0x800, 0x30000, 40)] + ["".join(every[k : k + 200]) for k in range(0x30000, len(every), 200)]
+    for text, ids in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text).tolist() == ids.ids, text
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_random_texts_are_those_of_the_library(name):
+    own, whole = TextEncoder(public_tokenizers.path(name), most=500), Tokenizer.from_file(public_tokenizers.path(name))
+    random = np.random.default_rng(3)
+    letters = [*(chr(c) for c in range(0x600) if c), "\u0300", "\u0301", "\u0323", "\u2028", "\u3000", "\ufeff", "\u200d", "日", "𝒳", "ﬁ", "가", *" \n\t'stredASDΣς" * 8]
+    texts = ["".join(letters[k] for k in random.integers(0, len(letters), 12)) for _ in range(30_000)]
+    for text, ids in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.encode(text).tolist() == ids.ids, text
+
+
+def test_another_result_of_the_core_is_not_taken():
+    own, whole = (x(public_tokenizers.path("byte_bpe_50k.json")) for x in (TextEncoder, Tokenizer.from_file))
+
+    class Other:
+        def encode_to_numpy(self, text, disallowed_special):
+            return np.zeros(3, "<u4")
+
+    own.core = Other()
+    for _ in range(2):
+        assert own.encode("one text").tolist() == whole.encode("one text", add_special_tokens=False).ids
+
+
 def expected(name, end):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
     return [(i, [*whole.encode(t or "", add_special_tokens=False).ids, end]) for i, t in ROWS]

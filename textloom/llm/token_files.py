@@ -150,7 +150,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str)
             sink.close()
             yield pa.record_batch([pa.array([x]) for x in (part, name, len(writer.docs), writer.tokens)], ["part", "file", "documents", "tokens"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    order = ("doc_id", F.xxhash64("text"))  # rows of one id, or of none, can lie in several files
+    ordered = ordered.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(lean(run), MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 

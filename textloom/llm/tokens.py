@@ -1,10 +1,13 @@
 """Exact ids of a `tokenizers` file, with the work of repeated words done once.
 
-A byte-level BPE tokenizer splits a text by a pattern and encodes each piece for itself. So the ids of pieces are kept, and
-those of the chunks between white space where the pattern can't reach across it. A file that splits by the library's
-own pattern, whose merges stand in the order of their ids, is the same thing as a table of ranks; tiktoken's core then
-merges by it, and the first texts of each worker are held against the tokenizers library. Texts with characters beyond U+07FF, with
-rare white space, or holding the string of an added token go through the library whole.
+Where every rule of the file works between white space (a split pattern that matches none, normalisers of single characters or
+of marks that follow one), the ids of a text are those of its chunks between ASCII white space. A chunk of ASCII alone, where letters, digits
+and cases leave no room for doubt, is split into pieces here; each different piece and each different other chunk is encoded by the library with
+all its rules, and its ids are kept. A byte-level file that splits by the library's own pattern, whose pieces hold
+white space, and whose merges stand in the order of their ids, is the same thing as a table of ranks; tiktoken's core then
+merges by it, and the first texts of each worker are held against the library, which does all of the work if they
+differ. There, texts with characters beyond U+07FF, with rare white space, or holding the string of an added token go through the library whole, as do all texts of
+other files.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 import zlib
 
 import numpy as np
@@ -22,8 +24,8 @@ from tokenizers import Tokenizer
 
 #: The split pattern of byte-level tokenizers that bring none, a fixed value of the library.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Beyond U+07FF, a letter whose lower case depends on its place, and white space of which Python and the library differ.
-_RARE = re.compile("[^\x00-߿]|[Σ\x1c-\x1f\x85\xa0]")
+#: Beyond U+07FF, and white space of which the two libraries could differ.
+_RARE = re.compile("[^\x00-߿]|[\x1c-\x1f\x85\xa0]")
 #: Texts of each encoder that both libraries encode.
 HELD_AGAINST = 20
 
@@ -61,15 +63,11 @@ class TextEncoder:
         self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         added = [t["content"] for t in rules["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.pattern, self.spaced = self._pattern(rules["pre_tokenizer"])
-        self.lower = rules["normalizer"] is not None
-        if self.lower and not self._lower_only(rules["normalizer"]) or rules["model"]["type"] != "BPE":
-            self.pattern = None
-        self.core, self.left = (self._ranks(rules["model"], set(added)) if self.spaced and not self.lower else None), HELD_AGAINST
-        if self.spaced and self.core is None:
-            self.pattern = None
-        self.model, self.letters = self.whole.model if self.core is None else None, byte_letters()
-        self.pieces, self.chunks = _Kept(self._piece, most // 2), _Kept(self._chunk, most)
+        self.in_chunks = self._in_chunks(rules)
+        self.core, self.left = (self._ranks(rules["model"], set(added)) if self._own_pattern(rules) else None), HELD_AGAINST
+        self.pieces, self.chunks = _Kept(self._by_library, most // 2), _Kept(self._chunk, most)
+        self.lower = "Lowercase" in str(rules["normalizer"])
+        self.pattern = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) if self.in_chunks else None
 
     @property
     def whole(self) -> Tokenizer:
@@ -79,23 +77,25 @@ class TextEncoder:
         return self._whole
 
     @staticmethod
-    def _pattern(rule: dict | None):
-        """The pattern whose matches are encoded each for itself, None if the file's kind isn't known, and whether matches hold white space."""
-        kinds = [rule, *rule.get("pretokenizers", [])] if rule else []
-        level = next((k for k in kinds if k["type"] == "ByteLevel"), None)
-        if not level or level["add_prefix_space"]:
-            return None, False
-        if rule["type"] == "ByteLevel" and level["use_regex"]:
-            return regex.compile(BYTE_LEVEL_PATTERN), True
-        split = next((k for k in kinds if k["type"] == "Split"), None)
-        known = split and split["behavior"] == "Removed" and split["invert"] and not level["use_regex"] and len(kinds) == 3
-        found = regex.compile(split["pattern"]["Regex"]) if known and "Regex" in split["pattern"] else None
-        return (found, False) if found and not found.search(" \n\t") and "?!" not in found.pattern and "?=" not in found.pattern else (None, False)
+    def _in_chunks(rules: dict) -> bool:
+        """Does no rule of the file look across white space, and does none of it reach the ids?"""
+        parts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [p["type"] for p in parts] != ["Split", "ByteLevel"] or parts[1]["add_prefix_space"] or parts[1]["use_regex"]:
+            return False
+        pattern = parts[0]["pattern"].get("Regex")
+        if pattern is None or parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or "(?" in pattern or re.search(r"\\[^spLN{}]|[.$ ]", pattern):
+            return False
+        if re.search(r"\\s", pattern.replace(r"[^\s", "")):
+            return False
+        normal = rules["normalizer"] or {"normalizers": []}
+        known = all(r["type"] in ("NFC", "Lowercase") or r["type"] == "Replace" and r["pattern"] == {"Regex": r"\s+"} and r["content"] == " " for r in normal.get("normalizers", [normal]))
+        return known and rules["model"]["type"] == "BPE"
 
     @staticmethod
-    def _lower_only(rule: dict) -> bool:
-        rules = rule.get("normalizers", [rule])
-        return [r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and rules[1]["pattern"] == {"Regex": "\\s+"} and rules[1]["content"] == " "
+    def _own_pattern(rules: dict) -> bool:
+        """Is the file split by the library's own pattern, without a normaliser?"""
+        rule = rules["pre_tokenizer"]
+        return bool(rule) and rule["type"] == "ByteLevel" and rule["use_regex"] and not rule["add_prefix_space"] and rules["normalizer"] is None and rules["model"]["type"] == "BPE"
 
     def _ranks(self, model: dict, added: set[str]) -> tiktoken.Encoding | None:
         """The vocabulary as ranks, if merges come in the order of the ids they make."""
@@ -108,34 +108,34 @@ class TextEncoder:
         ranks = {bytes(map(back.__getitem__, token)): k for token, k in vocab.items() if token not in added}
         return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _piece(self, piece: str) -> bytes:
-        spelt = piece if piece.isascii() and piece.isalnum() else "".join(map(self.letters.__getitem__, piece.encode()))
-        return self.pack(*[t.id for t in self.model.tokenize(spelt)])
-
-    def pack(self, *ids: int) -> bytes:
+    def _by_library(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
-        parts = self.pattern.findall(chunk)
+    def _chunk(self, chunk: bytes) -> bytes:
+        if not chunk.isascii():
+            return self._by_library(chunk.decode())
+        parts = self.pattern.findall((chunk.lower() if self.lower else chunk).decode())
         return self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, self.dtype)
-        if self.pattern is None or self.added and self.added.search(text) or _RARE.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
-        if self.lower:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        if self.core is not None:
-            ids = self.core.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
-            if self.left:
-                self.left -= 1
-                if ids.tolist() != self.whole.encode(text, add_special_tokens=False).ids:
-                    raise ValueError("the two libraries differ on this file")
-                if not self.left:
-                    self._whole = None  # rarely needed from here on
-            return ids
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.split())), self.dtype)
+        special = self.added is not None and self.added.search(text)
+        if self.in_chunks and not special:  # bytes are split at ASCII white space
+            return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.encode().split())), self.dtype)
+        if self.core is None or special or _RARE.search(text):
+            return np.frombuffer(self._by_library(text), self.dtype)
+        ids = self.core.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
+        if self.left:
+            self.left -= 1
+            own = np.frombuffer(self._by_library(text), self.dtype)
+            if not np.array_equal(ids, own):
+                self.core = None
+                return own
+            if not self.left:
+                self._whole = None  # rarely needed from here on
+        return ids
 
 
 def vocabulary_size(path: str) -> int:
