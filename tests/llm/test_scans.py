@@ -51,6 +51,27 @@ def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_hit) for r in rows) == sorted((a, h) for a, _, h, _ in brute.contamination(docs, items))
 
 
+def test_decontamination_by_shuffle_is_that_in_place(spark, monkeypatch):
+    letters = [a + b + c for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    items = [(k, " ".join(random.choice(letters) for _ in range(20))) for k in range(9_500)]
+    long_ = [random.choice(letters) for _ in range(60_000)]
+    for k in range(0, 9_500, 100):
+        at = random.randrange(len(long_) - 20)
+        long_[at : at + 20] = items[k][1].split()
+    docs = [(1, " ".join(long_)), (2, None), (2, items[7][1]), (2, items[7][1]), (None, items[8][1]), (3, "")] + [(10 + k, " ".join(random.choice(letters) for _ in range(50))) for k in range(30)]
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", 100_000)
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 100_000)
+    df, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert decontamination.item_windows(b, 10).count() > 100_000
+    found = decontamination.contaminated(df, b)
+    exchanges = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line]
+    rows = found.collect()
+    assert exchanges and not any("w#" in line for line in exchanges)
+    want = brute.contamination(docs, items)
+    assert sorted(((r.doc_id or 0), r.n_words, r.n_hit, tuple(r["items"])) for r in rows) == sorted(((a or 0), n, h, tuple(i)) for a, n, h, i in want)
+    assert max(x[2] for x in want) > 1500
+
+
 BASE = {("gnu", "general", "public", "license"): "gpl", ("apache", "license"): "apache", ("cc", "by"): "cc-by", ("mit", "license"): "mit"}
 
 
@@ -211,6 +232,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert spark.read.format("warc").load(f"file://{tmp_path}/nothing").count() == 0
 
 
+def test_warc_of_an_empty_table_and_of_rows_that_share_an_id(spark, tmp_path, monkeypatch):
+    warc.register(spark)
+    pages = spark.createDataFrame([(1, "http://a", "x" * 2000), (1, "http://b", "y"), (None, None, None), (2, "http://c", "x" * 2000)], "page_id long, url string, html string")
+    warc.records_of(pages.limit(0)).write.format("warc").mode("append").save(f"file://{tmp_path}/none")
+    assert spark.read.format("warc").load(f"file://{tmp_path}/none").count() == 0
+    for most in (0, 100):
+        monkeypatch.setattr(warc, "MOST_DIGESTS", most)
+        folder = f"file://{tmp_path}/some{most}"
+        warc.records_of(pages).write.format("warc").mode("append").save(folder)
+        rows = spark.read.format("warc").load(folder).collect()
+        assert len({r.record_id for r in rows}) == 4
+        assert {r.refers_to for r in rows} - {None} == {r.record_id for r in rows if r.target_uri == "http://c"}
+
+
+def test_warc_passes_over_broken_records_and_reads_below_folders(tmp_path):
+    import gzip
+
+    row = {"payload": b"page", "record_type": "response", "payload_bytes": 4, "payload_digest": "00" * 20, "date": "d", "target_uri": "u", "refers_to": None}
+    good = [warc.record(row | {"record_id": f"<x:{k}>"}) for k in range(3)]
+    no_length = good[1].replace(b"Content-Length: ", b"Content-Length: x", 2)
+    odd_digest = good[1].replace(b"sha1:", b"sha1:!")
+    nested = tmp_path / "2020" / "01"
+    nested.mkdir(parents=True)
+    (nested / "a.warc").write_bytes(b"".join([good[0], no_length, odd_digest, good[2], b"WARC/1.1\r\nWARC-Type: resp"]))
+    (nested / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, [good[0], no_length, b"WARC/1.1\r\n", odd_digest, good[2]])))
+    (nested / "c.warc.gz").write_bytes(b"".join(map(warc.member, [good[0], no_length, b"WARC/1.1\r\n", odd_digest, good[2]])))
+    for path, n in ((tmp_path, 9), (nested / "a.warc", 3), (nested / "b.warc.gz", 3), (nested / "c.warc.gz", 3)):
+        reader = warc.WarcReader({"path": str(path)})
+        read = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+        assert sorted(r["record_id"] for r in read) == sorted(["<x:0>", "<x:1>", "<x:2>"] * (n // 3))
+        assert {r["payload"] for r in read} == {b"page"} and {r["payload_digest"][:6] for r in read} == {"000000", "sha1:!"}
+
+
 def test_warc_readers_skip_and_read_foreign_files(tmp_path):
     import gzip
 

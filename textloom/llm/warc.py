@@ -9,7 +9,9 @@ Writing is in two steps: tasks write files under names that readers ignore, and
 names when the job commits.
 
 Null URLs are left out of the record, null payloads are empty, line breaks in a header value become spaces. Empty input
-makes no file; a folder without archives reads as no rows. Payloads of any length are held one at a time.
+makes no file; a folder without archives reads as no rows. Folders are read with all below them; a path can be one file too. Payloads of any length are held one at a time.
+A record whose head breaks off or doesn't tell a length is passed over, with what follows up to the next record; digests that aren't Base32 or hex stay as
+they are. Rows that share an id have records of different names, unless URL and payload are the same too.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 4 << 20
 CHUNK = 1 << 16
+#: Digests (with a name some 150 bytes) that are broadcast.
+MOST_DIGESTS = 300_000
+#: Bytes of a head; what is longer isn't one.
+LONGEST_HEAD = 1 << 20
 SUFFIX = (".warc.gz", ".warc")
 
 
@@ -61,6 +67,10 @@ def record(row: dict) -> bytes:
     return f"WARC/1.1\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def whole_number(value: str | None) -> int | None:
+    return int(value) if value and value.isascii() and value.isdigit() else None
+
+
 def parsed_head(head: bytes) -> dict[str, str]:
     out = {}
     for line in head.split(b"\r\n")[1:]:
@@ -98,17 +108,31 @@ class Archive:
                 if not self.out:
                     continue
             text = self._until(b"\r\n\r\n")
-            head = parsed_head(text)
-            self.left = int(head.get("content-length", 0))
-            yield head
+            head = parsed_head(text or b"")
+            told = whole_number(head.get("content-length"))
+            self.left = told or 0
+            if told is not None:
+                yield head
             if length is not None:
                 self.at = start + length
             elif self.packed:
                 while not self.inflate.eof and self._pull():
                     self.out = b""
                 self.at -= len(self.inflate.unused_data)
-            else:
+            elif told is not None:
                 self.at += self.left - len(self.out) + 4
+            else:
+                self._to_next(start + 1)
+
+    def _to_next(self, at: int) -> None:
+        """Go on at the next line that begins like a record."""
+        self.at, tail = at, b""
+        while data := self._more():
+            found = (tail + data).find(b"\nWARC/1.")
+            if found >= 0:
+                self.at += found + 1 - len(tail) - len(data)
+                return
+            tail = (tail + data)[-7:]
 
     @staticmethod
     def _told_length(first: bytes) -> int | None:
@@ -138,10 +162,11 @@ class Archive:
         self.rest = self.inflate.unconsumed_tail
         return True
 
-    def _until(self, mark: bytes) -> bytes:
+    def _until(self, mark: bytes) -> bytes | None:
+        """What comes before the mark; None if the record ends before it, or its head is longer than any is."""
         while mark not in self.out:
-            if not self._pull():
-                raise ValueError("a record ends within its head")
+            if len(self.out) > LONGEST_HEAD or not self._pull():
+                return None
         head, _, self.out = self.out.partition(mark)
         return head
 
@@ -197,7 +222,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs as pafs
 
         fs, top = file_system(self.path)
-        found = sorted((i for i in fs.get_file_info(pafs.FileSelector(top, allow_not_found=True)) if i.is_file and i.base_name.endswith(SUFFIX) and not i.base_name.startswith((".", "_"))), key=lambda i: -i.size)
+        one = fs.get_file_info(top)
+        listed = [one] if one.is_file else fs.get_file_info(pafs.FileSelector(top, allow_not_found=True, recursive=True))
+        found = sorted((i for i in listed if i.is_file and i.base_name.endswith(SUFFIX) and not i.base_name.startswith((".", "_"))), key=lambda i: -i.size)
         out: list[Files] = []
         used = self.size
         for i in found:
@@ -232,8 +259,8 @@ class WarcReader(DataSourceReader):
                         continue
                     row["payload"] = row["payload_bytes"] = None
                     if row["record_type"] in ("response", "revisit"):
-                        told = archive.http_head().get("content-length")
-                        row["payload_bytes"] = int(told) if told else archive.left
+                        told = whole_number(archive.http_head().get("content-length"))
+                        row["payload_bytes"] = archive.left if told is None else told
                         if self.payload != "false" and row["record_type"] == "response":
                             row["payload"] = archive.body()
                             if self.payload == "verify":
@@ -252,7 +279,12 @@ def plain_digest(value: str | None) -> str | None:
     """Lower-case hex of `sha1:` and Base32 or hex; other algorithms stay as they are."""
     if value and value.lower().startswith("sha1:"):
         own = value[5:]
-        return own.lower() if len(own) == 40 else base64.b32decode(own.upper()).hex()
+        if re.fullmatch("[0-9A-Fa-f]{40}", own):
+            return own.lower()
+        try:
+            return base64.b32decode(own.upper()).hex()
+        except ValueError:
+            return value
     return value
 
 
@@ -332,30 +364,31 @@ def register(spark: SparkSession) -> None:
 def records_of(pages: DataFrame, id_column: str = "page_id", least: int = 1000, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """A record for each page. Of equal payloads of at least `least` bytes the one with the largest id is the response.
 
-    Equal payloads may be a third of all: the largest id is a maximum combined before the shuffle, and a join on the digest
-    brings it to the pages. That maximum is a checkpoint first, for Spark splits a join where a digest has too many rows only if
-    both its sides are plain shuffles. Payloads of revisits are dropped there.
+    The digests of equal payloads and their largest ids are counted: few go to where the pages are, so that no payload moves. Beyond
+    MOST_DIGESTS they are joined. Equal payloads may be a third of all: the maximum is combined before the shuffle, and a checkpoint
+    too, for Spark splits a join where a digest has too many rows only if both its sides are plain shuffles. Payloads of revisits are dropped there.
     """
     checkpoint_folder(pages.sparkSession)
     own = pages.select(F.col(id_column).cast("long").alias("id"), F.col("url").cast("string").alias("target_uri"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     own = own.select("*", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("small "), F.coalesce(F.col("id").cast("string"), F.lit("")))).alias("key")
-    first = own.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("key")).agg(F.max("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").drop("n").checkpoint()
-    joined = own.select("*", key).join(first, "key", "left")
-    revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
-    name = F.lit("<urn:textloom:page:")
+    own = own.select("*", F.concat(F.coalesce(F.col("id").cast("string"), F.uuid()), F.lit(":"), F.hex(F.xxhash64("target_uri", "payload_digest"))).alias("name"))
+    key = F.when(F.col("payload_bytes") >= least, F.col("payload_digest")).otherwise(F.concat(F.lit("small "), "name")).alias("key")
+    first = own.where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("key")).agg(F.max(F.struct("id", "name")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first.id IS NOT NULL").drop("n").checkpoint()
+    joined = own.select("*", key).join(F.broadcast(first) if first.count() <= MOST_DIGESTS else first, "key", "left")
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
+    urn = lambda name: F.concat(F.lit("<urn:textloom:page:"), name, F.lit(">"))
     return joined.select(
-        F.concat(name, F.coalesce(F.col("id").cast("string"), F.uuid()), F.lit(">")).alias("record_id"),
+        urn(F.col("name")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "target_uri",
         F.lit(date).alias("date"),
         "payload_digest",
         "payload_bytes",
-        F.when(revisit, F.concat(name, F.col("first_id").cast("string"), F.lit(">"))).alias("refers_to"),
+        F.when(revisit, urn(F.col("first.name"))).alias("refers_to"),
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
 def page_of(name: str):
     """The id in a record's name, null if it has none."""
-    return F.expr(f"try_cast(regexp_extract({name}, 'page:(-?[0-9]+)>$', 1) AS bigint)")
+    return F.expr(f"try_cast(regexp_extract({name}, 'page:(-?[0-9]+):[0-9A-F]+>$', 1) AS bigint)")
