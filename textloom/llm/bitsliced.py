@@ -10,7 +10,8 @@ are level so far. What is level at the end is the boundary, resolved exactly by
 Vectors with a component beyond LARGEST / scale, whose products could leave 64 bits, lie in files of their own and are compared in
 Python's integers, as candidates and as queries. Ranks are exact; a score beyond 64 bits is given as the nearest number of 64 bits.
 
-Blocks are searched with groups of queries, each pair of files a piece of work of its own; the best k of each meet by the query's row.
+A block is a piece of work that loads it once and goes over all files of queries, a file at a time; where blocks are fewer than the cores can use, the
+files are dealt among several pieces. The best k of each block meet by the query's row.
 
 Vectors that are null or hold null or non-finite components take no part. Vectors are compared with those of their own length. Rows that share a vec_id are rows of
 their own, as candidates and as queries, but none is a candidate of a query with its id. A null vec_id takes no part; an empty table gives no row; other
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import file_system, lean, work_folder
@@ -210,29 +211,35 @@ def search(spark: SparkSession, folder: str, queries: DataFrame, k: int, scale:
     """The index's k best rows for each query (vec_id, embedding): query_id, rank, vec_id, score."""
     asked = work_folder(spark, "queries")
     groups = write_blocks(queries.coalesce(max(1, -(-queries.count() // QUERIES))), asked, QUERIES, False, scale)
-    # One row for each file of queries, numbered; each index file meets each of them.
-    numbered = spark.createDataFrame([(i, r[0], r[1]) for i, r in enumerate(groups.select("file", "width").collect())], "n int, queries string, query_width int")
+    # One row for each file of queries; the cores bound the pieces beyond one a block.
     blocks = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    n_groups, n_blocks = numbered.count(), blocks.count()
-    pairs = blocks.select("file", "width", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)) if n_groups else F.array().cast("array<int>")).alias("n")).join(numbered, "n").where("width = query_width")
+    n_blocks = blocks.count()
+    most = max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n_blocks)))
+    files = groups.select("file", "width", F.dense_rank().over(Window.orderBy("file")).alias("n"))
+    dealt = files.groupBy("width", (F.col("n") % most).alias("piece")).agg(F.collect_list(F.struct("file", "n")).alias("asked"))
+    work = blocks.select("file", "width").join(F.broadcast(dealt), "width").select("file", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = file_system(folder)
         fs_asked, top_asked = file_system(asked)
         for batch in batches:
-            for name, asked_name, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                block, own = load_block(fs, f"{top}/{name}"), load_block(fs_asked, f"{top_asked}/{asked_name}")
-                rows = [(n << 32) + at for at in range(len(own["ids"]))]
-                if "raw" in block or "raw" in own:
-                    values, asking = (whole_numbers(x["raw"], scale) if "raw" in x else x["values"].astype(object) for x in (block, own))
-                    out = [(row, q, *exact_best(block["ids"], values, q, v, k)) for row, q, v in zip(rows, own["ids"].tolist(), asking, strict=True)]
-                else:
-                    out = [(row, q, *(x.tolist() for x in search_block(block, q, v, k))) for row, q, v in zip(rows, own["ids"].tolist(), own["values"].astype(np.int64), strict=True)]
-                lines = [(row, q, i, score, 0, None) if abs(score) < BEYOND else (row, q, i, BEYOND - 1 if score > 0 else 1 - BEYOND, 1 if score > 0 else -1, (OFFSET - score).to_bytes(300, "big")) for row, q, ids, scores in out for i, score in zip(ids, scores, strict=True)]
-                kinds = (*(pa.int64(),) * 4, pa.int32(), pa.binary())
-                yield pa.record_batch([pa.array([x[c] for x in lines], kind) for c, kind in enumerate(kinds)], ["query_row", "query_id", "vec_id", "score", "beyond", "wide"])
-
-    found = pairs.select("file", "queries", "n").repartition(max(1, n_groups * n_blocks)).mapInArrow(lean(run), FOUND)
+            for name, asked_files in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block = load_block(fs, f"{top}/{name}")
+                for x in asked_files:
+                    yield found_in(block, load_block(fs_asked, f"{top_asked}/{x['file']}"), x["n"])
+
+    def found_in(block: dict[str, np.ndarray], own: dict[str, np.ndarray], n: int) -> pa.RecordBatch:
+        rows = [(n << 32) + at for at in range(len(own["ids"]))]
+        if "raw" in block or "raw" in own:
+            values, asking = (whole_numbers(x["raw"], scale) if "raw" in x else x["values"].astype(object) for x in (block, own))
+            out = [(row, q, *exact_best(block["ids"], values, q, v, k)) for row, q, v in zip(rows, own["ids"].tolist(), asking, strict=True)]
+        else:
+            out = [(row, q, *(x.tolist() for x in search_block(block, q, v, k))) for row, q, v in zip(rows, own["ids"].tolist(), own["values"].astype(np.int64), strict=True)]
+        lines = [(row, q, i, score, 0, None) if abs(score) < BEYOND else (row, q, i, BEYOND - 1 if score > 0 else 1 - BEYOND, 1 if score > 0 else -1, (OFFSET - score).to_bytes(300, "big")) for row, q, ids, scores in out for i, score in zip(ids, scores, strict=True)]
+        kinds = (*(pa.int64(),) * 4, pa.int32(), pa.binary())
+        return pa.record_batch([pa.array([x[c] for x in lines], kind) for c, kind in enumerate(kinds)], ["query_row", "query_id", "vec_id", "score", "beyond", "wide"])
+
+    found = work.repartition(max(1, n_blocks * most)).mapInArrow(lean(run), FOUND)
     order = F.struct((-F.col("beyond")).alias("under"), (-F.col("score")).alias("down"), "wide", "vec_id")
     best = F.slice(F.array_sort(F.collect_list(order)), 1, k)
     ranked = found.groupBy("query_row", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "b"))
