@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from textloom.functions import maths, tables
@@ -39,5 +41,9 @@ def test_tables(spark):
     assert [(r[0].term, r[0].known) for r in df.select(tables.translated(F.col("t"))).collect()] == [("Densidade (g/cm³)", True), ("Ouro", True), ("1,5", True), ("xyz", False), ("", True), ("m/s²", True)]
     axes = spark.createDataFrame([("Ano", ["a", "b", "c"]), ("x", ["2019", "2020", "2021"]), ("x", ["1", "2", "3"]), ("x", ["3", "2", "1"]), ("Fase", ["x"])], "h string, l array<string>")
     assert [r[0] for r in axes.select(tables.axis_order(F.col("h"), F.col("l"))).collect()] == ["temporal", "temporal", "continuous", "nominal", "ordinal"]
-    assert tables.repaired_json('{"a": [1, {"b": "c') == '{"a": [1, {"b": "c"}]}' and tables.repaired_json("[1]") is None and tables.repaired_json(None) is None
-    assert tables.joined_lines("uma fra-\nse que\ncontinua aqui\nFim.") == "uma frase que\ncontinua aqui\nFim."
+    cut = spark.createDataFrame([('{"a": [1, {"b": "c',), ("[1]",), (None,), ('{"x\\\\": "y\\', ), ('{"q": "a \\" {", "r": [[2], {"s": 1},',), ("{]",)], "t string")
+    found = [r[0] and json.loads(r[0]) for r in cut.select(tables.repaired_json(F.col("t"))).collect()]
+    assert found == [{"a": [1, {"b": "c"}]}, None, None, {"x\\": "y"}, {"q": 'a " {', "r": [[2], {"s": 1}]}, None]
+    texts = ["uma fra-\nse que\ncontinua aqui\nFim.", "um\ndois\ntres\nquatro", "fim.\ncomeça", "=== Pagina 3 ===\nabc", "a \t\n  b  \n", None]
+    lines = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tables.joined_lines(F.col("t"))).collect()]
+    assert lines == ["uma frase que\ncontinua aqui\nFim.", "um dois\ntres quatro", "fim.\ncomeça", "=== Pagina 3 ===\nabc", "a b\n", None]

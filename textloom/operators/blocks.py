@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -106,8 +109,6 @@ def repeats(rows: DataFrame, order: str, least: int = 40, before: int = 3, ratio
 
 
 def first_like(text: str, earlier, ratio: float) -> tuple[int | None, float | None]:
-    from difflib import SequenceMatcher
-
     for e in earlier:
         match = SequenceMatcher(None, text, e["t"])
         # two upper bounds come first: most texts aren't alike
@@ -116,65 +117,70 @@ def first_like(text: str, earlier, ratio: float) -> tuple[int | None, float | No
     return None, None
 
 
+#: Types that pruning leaves alone; how many blocks back a repeat is looked for.
+OUTSIDE_TEXT, REACH = ("table", "math", "list", "code"), 6
+#: Least letters of a key, share of common words, and share of matching letters of blocks that say the same in other words.
+LONG_KEY, LIKE_WORDS, LIKE_LETTERS = 60, 0.55, 0.85
+
+
 def pruned(rows: DataFrame, order: str) -> DataFrame:
-    """Blocks (doc_id, order, type, text) without noise and without repeats of one of the last six that stay.
+    """Blocks (doc_id, order, type, text, and has_mathml if there is one) without noise and without repeats of one of the last REACH that stay.
 
-    What stays depends on what stayed before, so a document is one row, as its text was.
+    Of two that say the same, the less broken one stays in the place of the first, then one with MathML, then the longer. What
+    stays depends on what stayed before, so a document is a row of arrays, one for each feature; noise is gone by then.
     """
+    maths = F.col("has_mathml").cast("int") if "has_mathml" in rows.columns else F.lit(0)
+    typed = rows.select("doc_id", F.col(order).cast("long").alias("o"), "type", F.coalesce("text", F.lit("")).alias("raw"), maths.alias("maths"), F.col("type").isin(*OUTSIDE_TEXT).alias("outside"))
+    clean = typed.where(F.col("outside") | ~T.is_noise(F.col("raw"), F.col("type") == "image"))
+    said = clean.withColumn("text", F.when(F.col("outside"), F.col("raw")).otherwise(T.without_process_label(F.col("raw"))))
+    ready = said.withColumn("key", F.when(F.col("outside"), "").otherwise(T.comparison_key(F.col("raw"))))
+    ready = ready.withColumns({"numbers": F.array_join(T.numbers_of(F.col("text")), " "), "terms": F.transform(T.terms_of(F.col("text")), lambda x: F.xxhash64(x)), "broken": T.brokenness(F.col("text"))})
+    rank = F.array((-F.col("broken")).cast("int"), F.col("maths").cast("int"), F.length("text")).alias("rank")
+    features = ("key", "numbers", "terms", "broken", "rank")
+    listed = ready.withColumn("rank", rank).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("o", "type", "text", *features))).alias("rows"))
 
-    typed = rows.select("doc_id", F.col(order).cast("long").alias("o"), "type", F.coalesce("text", F.lit("")).alias("text"))
-    keys = typed.withColumns({"noise": T.is_noise(F.col("text"), F.col("type") == "image"), "label_free": T.without_process_label(F.col("text"))})
-    ready = keys.withColumns({"key": T.comparison_key(F.col("text")), "numbers": T.numbers_of(F.col("label_free")), "terms": T.terms_of(F.col("label_free")), "broken": T.brokenness(F.col("label_free"))})
-    whole = ready.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("o", "type", "text", "noise", "label_free", "key", "numbers", "terms", "broken"))).alias("rows"))
+    def stay(keys: pd.Series, numbers: pd.Series, terms: pd.Series, broken: pd.Series, ranks: pd.Series) -> pd.Series:
+        return pd.Series([staying(*row) for row in zip(keys, numbers, terms, broken, ranks, strict=True)])
 
-    def run(documents: pd.Series) -> pd.Series:
-        return documents.map(prune_document)
+    chosen = listed.select("doc_id", "rows", F.explode(F.pandas_udf(stay, "array<int>")(*(f"rows.{n}" for n in features))).alias("k"))
+    return chosen.select("doc_id", F.get("rows", "k").alias("b")).select("doc_id", F.col("b.o").alias(order), "b.type", "b.text")
 
-    kept = F.pandas_udf(run, "array<struct<o:bigint,type:string,text:string>>")
-    return whole.select("doc_id", F.explode(kept("rows")).alias("b")).select("doc_id", F.col("b.o").alias(order), "b.type", "b.text")
 
+def letter_counts(key: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(key.encode(), np.uint8), minlength=128)
 
-OUTSIDE_TEXT = ("table", "math", "list", "code")
 
+def staying(keys, numbers, terms, broken, ranks) -> list[int]:
+    """Which rows stay, each in the place of the first that says the same; a row without a key is never a repeat."""
+    slots: list[int] = []  # rows that stay
+    words, counts = {}, {}
 
-def same_content(a: dict, b: dict) -> bool:
-    """Equal keys; or one breaks off where the other goes on; or long ones with equal numbers and like words."""
-    from difflib import SequenceMatcher
+    def of(k: int) -> tuple[frozenset, np.ndarray]:
+        if k not in words:
+            words[k], counts[k] = frozenset(terms[k]), letter_counts(keys[k])
+        return words[k], counts[k]
 
-    if not a["key"] or not b["key"]:
-        return False
-    if a["key"] == b["key"]:
-        return True
-    every = len(a["terms"] | b["terms"])
-    if not every:
-        return False
-    share = len(a["terms"] & b["terms"]) / every
-    numbers, others = a["numbers"], b["numbers"]
-    if share >= 0.55 and a["broken"] != b["broken"]:
-        short, whole = (numbers, others) if a["broken"] > b["broken"] else (others, numbers)
-        if len(short) < len(whole) and whole[: len(short)] == short:
+    def alike(a: int, b: int) -> bool:
+        if keys[a] == keys[b]:
             return True
-    if min(len(a["key"]), len(b["key"])) < 60 or numbers != others:
-        return False
-    if share >= 0.55:
-        return True
-    match = SequenceMatcher(None, a["key"], b["key"])
-    # two upper bounds come first: most texts aren't alike
-    return match.real_quick_ratio() >= 0.85 and match.quick_ratio() >= 0.85 and match.ratio() >= 0.85
-
-
-def prune_document(rows) -> list[dict]:
-    kept: list[dict] = []
-    for row in ({**r, "terms": frozenset(r["terms"]), "numbers": list(r["numbers"])} for r in rows):
-        if row["type"] in OUTSIDE_TEXT:
-            kept.append(row)
-            continue
-        if row["noise"]:
-            continue
-        row["text"] = row["label_free"]
-        place = next((k for k in range(len(kept) - 1, max(-1, len(kept) - 7), -1) if kept[k]["type"] not in OUTSIDE_TEXT and same_content(row, kept[k])), None)
+        cut_off = broken[a] != broken[b] and len(numbers[a]) != len(numbers[b])
+        long_ = numbers[a] == numbers[b] and min(len(keys[a]), len(keys[b])) >= LONG_KEY
+        if not cut_off and not long_:
+            return False
+        (x, xs), (y, ys) = of(a), of(b)
+        if not x and not y:
+            return False
+        if len(x & y) >= LIKE_WORDS * len(x | y):
+            short, whole = sorted((a, b), key=lambda k: -broken[k])
+            return long_ or f"{numbers[whole]} ".startswith(f"{numbers[short]} ".lstrip())
+        most = 2 * np.minimum(xs, ys).sum() / (len(keys[a]) + len(keys[b]))  # no ratio is above it
+        return long_ and bool(most >= LIKE_LETTERS) and SequenceMatcher(None, keys[a], keys[b]).ratio() >= LIKE_LETTERS
+
+    for k in range(len(keys)):
+        near = range(len(slots) - 1, max(-1, len(slots) - 1 - REACH), -1) if keys[k] else ()
+        place = next((p for p in near if keys[slots[p]] and alike(k, slots[p])), None)
         if place is None:
-            kept.append(row)
-        elif (row["broken"], -len(row["text"])) < (kept[place]["broken"], -len(kept[place]["text"])):
-            kept[place] = row
-    return [{"o": r["o"], "type": r["type"], "text": r["text"]} for r in kept]
+            slots.append(k)
+        elif tuple(ranks[k]) > tuple(ranks[slots[place]]):
+            slots[place] = k
+    return slots

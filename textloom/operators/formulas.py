@@ -65,20 +65,6 @@ def _segmenter():
     return F.pandas_udf(cut, "array<struct<maths:boolean,piece:string>>")
 
 
-def number_words():
-    def said(numbers: pd.Series) -> pd.Series:
-        return numbers.map(lambda n: V.number_words(int(n)))
-
-    return F.pandas_udf(said, "string")
-
-
-def text_in_words():
-    def said(texts: pd.Series) -> pd.Series:
-        return texts.map(V.text_with_unit_words)
-
-    return F.pandas_udf(said, "string")
-
-
 def occurrences_that_differ(records: DataFrame) -> DataFrame:
     """Formulas with one hash of several LaTeX forms (a blocker) or several speeches (a warning)."""
     found = records.groupBy("hash").agg(F.count_distinct("latex").alias("latex_forms"), F.count_distinct("speech").alias("speech_forms"), F.count(F.lit(1)).alias("n"))

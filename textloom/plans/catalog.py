@@ -393,13 +393,13 @@ _WORDS_SQL = "ones AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{w}')" for k
 
 @query("voc1_number_words", f"WITH {_WORDS_SQL} SELECT p_partkey, words FROM low")
 def voc1_number_words(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", formulas.number_words()("p_size").alias("words"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.number_in_words(F.col("p_size")).alias("words"))
 
 
 @query("voc4_text_in_words")
 def voc4_text_in_words(spark, sf_dir):
     lines = blocks.lines_of(documents(spark, sf_dir)).where(F.col("line").rlike("[0-9]"))
-    return lines.select("doc_id", "line_no", formulas.text_in_words()("line").alias("said"))
+    return lines.select("doc_id", "line_no", V.with_units_in_words(F.col("line")).alias("said"))
 
 
 @query("exp12_script_candidates", f"WITH {_LINES} SELECT doc_id, line_no::INT AS line_no, len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]+'), lambda t: regexp_full_match(t, '[A-Za-z][0-9]')))::INT AS n FROM lines WHERE len(list_filter(regexp_extract_all(line, '[A-Za-z0-9_]+'), lambda t: regexp_full_match(t, '[A-Za-z][0-9]'))) > 0")
@@ -473,12 +473,12 @@ def agg29_axis_order(spark, sf_dir):
 @query("txt36_json_repair")
 def txt36_json_repair(spark, sf_dir):
     cut = F.expr("substring(props, 1, length(props) - event_id % 3)")
-    return table(spark, sf_dir, "events").select("event_id", tables.json_repair()(cut).alias("json"))
+    return table(spark, sf_dir, "events").select("event_id", tables.repaired_json(cut).alias("json"))
 
 
 @query("win18_joined_lines")
 def win18_joined_lines(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", F.md5(tables.line_joiner()("text")).alias("digest"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(tables.joined_lines(F.col("text"))).alias("digest"))
 
 
 @query("win13_runs")
