@@ -84,7 +84,7 @@ def test_components(spark):
 def test_compact_windows_are_nodes_of_the_tree(monkeypatch):
     monkeypatch.setattr(substring, "CHUNK", 64)
     grams = ngrams(substring.hashed([w.encode() for w in text(200)]), 5)
-    values = grams * substring.functions_of(0)[:, None]
+    values = grams.astype("uint32") * substring.functions_of(0)[:, None]
     want = set()  # at each place the least values of each band's functions
     for p in range(len(grams) - 46 + 1):
         for band in range(substring.BANDS):
