@@ -552,3 +552,6 @@ def val25_table_cells(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_language_and_noise(spark, sf_dir)
+
+
+from textloom.plans import more  # noqa: E402, F401  (adds its queries)
