@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions import expressions as X
 from textloom.functions import latex as L
+from textloom.functions import maths, tables
 from textloom.functions import semantics as S
 from textloom.functions import text as T
 from textloom.functions import vocabulary as V
 from textloom.operators import blocks, coherence, context, formulas, fragments, layout
 from textloom.operators import documents as D
-from textloom.plans.catalog import _LINES, _REGIONS, documents, equations, query, table
+from textloom.plans.catalog import _LINES, _REGIONS, ORACLE, documents, equations, query, table
+from textloom.sources import render
 
 #: Line items numbered within their order without ties.
 _LI = "li AS (SELECT * REPLACE ((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice))::INT AS l_linenumber) FROM lineitem)"
@@ -486,3 +488,196 @@ def exp53_mixed_paragraphs(spark, sf_dir):
     rows = equations(spark, sf_dir).select("expr_id", F.concat(F.lit("Veja que "), "source", F.lit(" vale sempre.")).alias("text"))
     pieces = formulas.segmented(rows, ["expr_id"], "text").groupBy("expr_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda p: p["piece"]), "").alias("again"))
     return rows.join(pieces, "expr_id", "left").select("expr_id", (F.coalesce("again", "text") == F.col("text")).alias("whole"))
+
+
+# ---- the same rows in SQL for queries of the catalog, and queries whose rows show both outcomes ----
+
+ORACLE["agg1_reading_order"] = f"WITH {_REGIONS} SELECT doc_id, 0 AS page_num, region_idx::INT AS region_idx, (row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0, region_idx) - 1)::INT AS ord FROM r"
+ORACLE["agg6_joined_pieces"] = f"""WITH {_REGIONS}, t AS (SELECT doc_id, region_idx, region_idx - lag(region_idx) OVER (PARTITION BY doc_id ORDER BY region_idx) AS step FROM r WHERE length(text) > 0),
+g AS (SELECT doc_id, region_idx, sum(CASE WHEN step <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY region_idx) AS run FROM t),
+p AS (SELECT doc_id, region_idx, min(region_idx) OVER (PARTITION BY doc_id, run) AS piece FROM g)
+SELECT r.doc_id, r.region_idx::INT AS region_idx, coalesce(piece, r.region_idx)::INT AS piece FROM r LEFT JOIN p ON r.doc_id = p.doc_id AND r.region_idx = p.region_idx"""
+ORACLE["agg29_axis_order"] = "SELECT o_custkey, CASE WHEN count(DISTINCT year(o_orderdate)) >= 3 THEN 'temporal' ELSE 'nominal' END AS axis FROM orders GROUP BY o_custkey"
+ORACLE["cls25_kept_content"] = """WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations),
+w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(translate(lower(coalesce(text, '')), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}'))) AS a,
+  list_distinct(list_filter(regexp_extract_all(translate(lower(after), 'áàâãäåéèêëíìîïóòôõöúùûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy'), '[\\p{L}\\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{4,}'))) AS b FROM t WHERE after IS NOT NULL)
+SELECT conv_id, turn, len(a) = 0 OR len(list_filter(a, lambda x: NOT list_contains(b, x))) <= 0.25 * len(a) AS kept FROM w"""
+ORACLE["jon22_overlaps"] = f"""WITH {_REGIONS}, q AS (SELECT *, y1 + 4 AS bottom FROM r),
+p AS (SELECT a.doc_id, a.region_idx, b.region_idx AS other_idx, greatest(least(a.x1, b.x1), 0) * greatest(least(a.bottom, b.bottom) - greatest(a.y0, b.y0), 0) / nullif(a.x1 * 14, 0) AS share FROM q a JOIN q b ON a.doc_id = b.doc_id AND abs(a.region_idx - b.region_idx) = 1 WHERE a.region_idx % 2 = 0)
+SELECT doc_id, 0 AS page_num, region_idx::INT AS region_idx, other_idx::INT AS other_idx, share FROM p WHERE share > 0.10"""
+
+
+@query("txt23_noise_of_turns", "SELECT conv_id, turn, turn % 5 <> 4 AS noise FROM conversations")
+def txt23_noise_of_turns(spark, sf_dir):
+    """Page marks, a lone label, an illegible note and an empty line for four of five turns; a sentence for the fifth."""
+    line = F.get(F.array(*map(F.lit, ("Página 3 de 10", "Gráfico colorido.", "conteúdo ilegível", "   ", "A casa fica na rua de baixo."))), (F.col("turn") % 5).cast("int"))
+    line = F.when(F.col("turn") % 5 == 1, "Texto digitalizado.").otherwise(line)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_noise(line).alias("noise"))
+
+
+@query("cls17_titles_of_parts", "SELECT p_partkey, p_partkey % 2 = 0 AND length(p_name) <= 90 AS title FROM part")
+def cls17_titles_of_parts(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.upper("p_name"), F.lit(".")))
+    return table(spark, sf_dir, "part").select("p_partkey", T.is_title(name).alias("title"))
+
+
+@query("exp12_scripts_of_parts", "SELECT p_partkey, CASE WHEN p_size % 10 = p_size THEN 2 ELSE 1 END::INT AS n FROM part")
+def exp12_scripts_of_parts(spark, sf_dir):
+    text = F.concat(F.lit("se x"), F.col("p_size").cast("string"), F.lit(" = a1 e abc2 ou y_3"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.size(formulas.script_candidates(text)).alias("n"))
+
+
+@query("cls24_hedges_of_turns", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'provavelmente' WHEN turn % 3 = 1 THEN 'aparenta estar,como se' ELSE '' END AS hedges FROM conversations")
+def cls24_hedges_of_turns(spark, sf_dir):
+    text = F.get(F.array(*map(F.lit, ("Provavelmente é um gato, provavelmente.", "Aparenta estar como se dormisse", "É um gato."))), (F.col("turn") % 3).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(maths.hedges(text), ",").alias("hedges"))
+
+
+@query("win10_sections_of_orders", f"""WITH {_LI}, h AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, (l_partkey % 4 + 1) AS level FROM li)
+SELECT a.doc_id, a.ord::INT AS ord, a.level::INT AS level, max(b.ord)::INT AS parent_ord FROM h a LEFT JOIN h b ON a.doc_id = b.doc_id AND b.ord < a.ord AND b.level < a.level AND NOT EXISTS (SELECT 1 FROM h c WHERE c.doc_id = a.doc_id AND c.ord > b.ord AND c.ord < a.ord AND c.level <= b.level) GROUP BY ALL""")
+def win10_sections_of_orders(spark, sf_dir):
+    rows = lines_of_orders(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.lit("heading").alias("type"), (F.col("l_partkey") % 4 + 1).cast("int").alias("level"), F.lit("x").alias("text"))
+    return blocks.sections(rows).select("doc_id", "ord", "level", "parent_ord")
+
+
+@query("agg11_differing_formulas", "SELECT l_partkey % 100 AS hash, count(DISTINCT l_returnflag)::BIGINT AS latex_forms, count(DISTINCT l_linestatus)::BIGINT AS speech_forms, count(*)::BIGINT AS n, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'BLOCKER' ELSE 'WARNING' END AS severity FROM lineitem GROUP BY l_partkey % 100 HAVING count(DISTINCT l_returnflag) > 1 OR count(DISTINCT l_linestatus) > 1")
+def agg11_differing_formulas(spark, sf_dir):
+    return formulas.occurrences_that_differ(table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("hash"), F.col("l_returnflag").alias("latex"), F.col("l_linestatus").alias("speech")))
+
+
+@query("txt27_slides_of_parts", "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'Slide ' || p_size || ' de 20 fim' ELSE p_size || '/20 fim' END || chr(10) || 'latex: 3/20' AS text FROM part")
+def txt27_slides_of_parts(spark, sf_dir):
+    text = F.concat(F.col("p_size").cast("string"), F.lit("/20 fim\nlatex: 3/20"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.slide_numbers(text, 20).alias("text"))
+
+
+@query("txt22_labels_of_parts", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(substr(p_name, 1, 1)) || substr(p_name, 2) WHEN 1 THEN 'texto: ab' ELSE 'O texto: ' || p_name END AS text FROM part")
+def txt22_labels_of_parts(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("Texto digitalizado: "), "p_name")).when(k == 1, "texto: ab").otherwise(F.concat(F.lit("O texto: "), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.without_process_label(text).alias("text"))
+
+
+@query("txt2_clean_parts", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || ' forte' || chr(10) || 'item' || chr(10) || 'x' ELSE '**' || p_name || '**' END AS text FROM part")
+def txt2_clean_parts(spark, sf_dir):
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("## "), "p_name", F.lit(" **forte**\n- item\n```\n1. `x`\n"))).otherwise(F.concat(F.lit("**"), "p_name", F.lit("**")))
+    clean = T.block_text(text, F.when(F.col("p_partkey") % 2 == 0, "paragraph").otherwise("code"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(clean, "\n+", "\n").alias("text"))
+
+
+@query("exp38_latex", r"SELECT p_partkey AS expr_id, CASE p_partkey % 5 WHEN 0 THEN p_size || '{x}^{2} - ' || floor(p_retailprice)::INT || 'x + 1 = 0' WHEN 1 THEN 'y = \frac{' || p_size || ' + \sqrt{' || floor(p_retailprice)::INT || '}}{2a}' WHEN 2 THEN 'v = ' || p_size || '\ \mathrm{m/s}' ELSE p_size || ' \in \{1, 2, ' || floor(p_retailprice)::INT || '\}' END AS latex FROM part WHERE p_partkey % 5 < 4")
+def exp38_latex(spark, sf_dir):
+    rows = equations(spark, sf_dir).where("expr_id % 5 < 4")
+    return formulas.processed(rows, "source").select("expr_id", "formula.latex")
+
+
+@query("exp42_statuses", "SELECT p_partkey AS expr_id, p_partkey % 5 < 4 AS complete, CASE WHEN p_partkey % 5 < 4 THEN 'draft' ELSE 'needs_review' END AS status FROM part")
+def exp42_statuses(spark, sf_dir):
+    return formulas.processed(equations(spark, sf_dir), "source").select("expr_id", (F.col("expr_id") % 5 < 4).alias("complete"), "formula.status")
+
+
+@query("exp34_speech", "WITH " + "o AS (SELECT * FROM (VALUES (1, 'um'), (2, 'dois'), (3, 'três'), (4, 'quatro'), (5, 'cinco'), (6, 'seis'), (7, 'sete'), (8, 'oito'), (9, 'nove')) t(n, w)) SELECT p_partkey AS expr_id, CASE WHEN p_partkey % 2 = 0 THEN w || ' vezes x ao quadrado, mais b é igual a zero' ELSE 'uma fração. No numerador: ' || w || ' menos b. No denominador: dois vezes a. Fim da fração' END AS speech FROM part JOIN o ON n = p_size % 9 + 1")
+def exp34_speech(spark, sf_dir):
+    n = (F.col("p_size") % 9 + 1).cast("string")
+    source = F.when(F.col("p_partkey") % 2 == 0, F.concat(n, F.lit("x² + b = 0"))).otherwise(F.concat(F.lit(r"\frac{"), n, F.lit(" - b}{2a}")))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expr_id"), source.alias("source"))
+    return formulas.processed(rows, "source").select("expr_id", "formula.speech")
+
+
+@query("exp39_mathml", "SELECT p_partkey AS expr_id, '<mfrac><mn>' || p_size || '</mn><msup><mi>x</mi><mn>2</mn></msup></mfrac>' AS mathml FROM part")
+def exp39_mathml(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expr_id"), F.concat(F.lit(r"\frac{"), F.col("p_size").cast("string"), F.lit("}{x^2}")).alias("source"))
+    return formulas.processed(rows, "source").select("expr_id", F.regexp_extract("formula.mathml", "(<mfrac>.*</mfrac>)", 1).alias("mathml"))
+
+
+@query("exp29_kinds", "SELECT p_partkey AS expr_id, u.kind AS kind, u.n::BIGINT AS n FROM (SELECT p_partkey, [{kind: 'Relation', n: 1}, {kind: 'Add', n: 1}, {kind: 'Power', n: 1}, {kind: 'Symbol', n: 2}, {kind: 'Integer', n: 2}] AS l FROM part), unnest(l) AS t(u)")
+def exp29_kinds(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expr_id"), F.concat(F.lit("x² + y = "), F.col("p_size").cast("string")).alias("source"))
+    nodes = formulas.tree_nodes(formulas.processed(rows, "source").select("expr_id", "formula.*"), "expr_id")
+    return nodes.groupBy("expr_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("val1_issues", "SELECT p_partkey AS expr_id, CASE p_partkey % 3 WHEN 0 THEN 'BLOCKER:parenteses' ELSE '' END AS issues FROM part")
+def val1_issues(spark, sf_dir):
+    n = F.col("p_size").cast("string")
+    source = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("((x + "), n, F.lit(")"))).otherwise(F.concat(F.lit("x² - "), n))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("expr_id"), source.alias("source"))
+    return formulas.processed(rows, "source").select("expr_id", F.array_join(F.filter("formula.issues", lambda i: i.endswith("parenteses")), ",").alias("issues"))
+
+
+@query("exp2_pieces", "SELECT p_partkey, u.ord::INT AS ord, u.maths, u.piece FROM (SELECT p_partkey, p_size, [{ord: 0, maths: false, piece: 'A função é '}, {ord: 1, maths: true, piece: 'f(x) = x² + ' || p_size}, {ord: 2, maths: false, piece: ' e cresce.'}] AS l FROM part), unnest(l) AS t(u)")
+def exp2_pieces(spark, sf_dir):
+    text = F.concat(F.lit("A função é f(x) = x² + "), F.col("p_size").cast("string"), F.lit(" e cresce."))
+    return formulas.segmented(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), ["p_partkey"], "text")
+
+
+@query("src48_chunks_of_orders", f"WITH {_LI}, c AS (SELECT l_orderkey AS doc_id, count(*) AS n FROM li GROUP BY l_orderkey) SELECT doc_id, ((n + 1) // 2)::BIGINT AS chunks, least(n, 2)::INT * 101 - 1 AS longest FROM c")
+def src48_chunks_of_orders(spark, sf_dir):
+    """Lines of a hundred letters: two fit into 210, with their line break."""
+    text = F.array_join(F.transform(F.collect_list("l_linenumber"), lambda _: F.repeat(F.lit("x"), 100)), "\n")
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(text.alias("text"))
+    return render.chunks(rows, "doc_id", "text", 210).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("chunk")).alias("longest"))
+
+
+def typed_blocks(spark, sf_dir):
+    """Blocks of orders: a heading, then paragraphs and list items."""
+    n = F.col("l_linenumber")
+    return lines_of_orders(spark, sf_dir).select(
+        F.col("l_orderkey").alias("doc_id"), n.alias("ord"), F.when(n == 1, "heading").when(n % 2 == 0, "paragraph").otherwise("list").alias("type"), F.when(n == 1, 1).alias("level"),
+        F.when((n == 1) | (n % 2 == 0), F.concat(F.lit("a < b "), "l_returnflag")).alias("text"), F.when((n > 1) & (n % 2 == 1), F.col("l_linestatus")).alias("item"),
+        F.array().cast("array<array<string>>").alias("rows"), F.lit(None).cast("int").alias("start"),
+    )
+
+
+@query("src37_txt_of_orders", f"WITH {_LI} SELECT l_orderkey AS doc_id, string_agg(CASE WHEN l_linenumber = 1 OR l_linenumber % 2 = 0 THEN 'a < b ' || l_returnflag ELSE '- ' || l_linestatus END, chr(10) ORDER BY l_linenumber) AS txt FROM li GROUP BY l_orderkey")
+def src37_txt_of_orders(spark, sf_dir):
+    return render.txt(typed_blocks(spark, sf_dir))
+
+
+@query("src41_html_of_orders", f"WITH {_LI} SELECT l_orderkey AS doc_id, md5('<!DOCTYPE html>' || chr(10) || '<html lang=\"pt-BR\"><head><meta charset=\"utf-8\"></head><body><nav><ol>' || '<li><a href=\"#s1\">a &lt; b ' || min_by(l_returnflag, l_linenumber) || '</a></li></ol></nav><main>' || chr(10) || string_agg(CASE WHEN l_linenumber = 1 THEN '<h1 id=\"s1\">a &lt; b ' || l_returnflag || '</h1>' WHEN l_linenumber % 2 = 0 THEN '<p>a &lt; b ' || l_returnflag || '</p>' ELSE '<ul><li>' || l_linestatus || '</li></ul>' END, chr(10) ORDER BY l_linenumber) || chr(10) || '</main></body></html>') AS digest FROM li GROUP BY l_orderkey")
+def src41_html_of_orders(spark, sf_dir):
+    return render.html(typed_blocks(spark, sf_dir)).select("doc_id", F.md5("html").alias("digest"))
+
+
+@query("src47_ssml_of_orders", f"WITH {_LI} SELECT l_orderkey AS doc_id, md5('<speak>' || chr(10) || string_agg('  ' || CASE WHEN l_linenumber = 1 OR l_linenumber % 2 = 0 THEN 'a &lt; b ' || l_returnflag ELSE l_linestatus END || chr(10) || '  <break time=\"' || CASE WHEN l_linenumber = 1 THEN 700 ELSE 400 END || 'ms\"/>', chr(10) ORDER BY l_linenumber) || chr(10) || '</speak>') AS digest FROM li GROUP BY l_orderkey")
+def src47_ssml_of_orders(spark, sf_dir):
+    return render.ssml(typed_blocks(spark, sf_dir)).select("doc_id", F.md5("ssml").alias("digest"))
+
+
+@query("txt36_repaired_events", "SELECT event_id, '{\"a\":[' || event_id || ',{\"b\":\"' || event_type || '\"}]}' AS json FROM events")
+def txt36_repaired_events(spark, sf_dir):
+    cut = F.concat(F.lit('{"a": ['), F.col("event_id").cast("string"), F.lit(', {"b": "'), "event_type", F.when(F.col("event_id") % 2 == 0, '"}').otherwise(""))
+    return table(spark, sf_dir, "events").select("event_id", tables.repaired_json(cut).alias("json"))
+
+
+@query("win18_joined_names", "SELECT p_partkey, p_name || ' ' || lower(p_type) || chr(10) || 'Fim' AS text FROM part")
+def win18_joined_names(spark, sf_dir):
+    text = F.concat("p_name", F.lit("  \n "), F.lower("p_type"), F.lit("\nFim"))
+    return table(spark, sf_dir, "part").select("p_partkey", tables.joined_lines(text).alias("text"))
+
+
+@query("agg28_summaries_of_orders", "SELECT l_orderkey, CASE WHEN count(*) + 8 <= 10 THEN '' ELSE 'Tabela de ' || (count(*) + 7) || ' linhas e 2 colunas. Cada linha e identificada por Nome. As demais colunas trazem Valor. Cada celula cruza o nome da linha com o titulo da coluna.' END AS summary FROM lineitem GROUP BY l_orderkey")
+def agg28_summaries_of_orders(spark, sf_dir):
+    rows = F.concat(F.array(F.array(F.lit("Nome"), F.lit("Valor"))), F.array_repeat(F.array(F.lit("a"), F.lit("1")), 7), F.transform(F.collect_list("l_linenumber"), lambda n: F.array(F.lit("x"), n.cast("string"))))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(rows.alias("rows")).select("l_orderkey", tables.summary(F.col("rows")).alias("summary"))
+
+
+@query("win13_runs_of_orders", f"WITH {_LI}, c AS (SELECT l_orderkey AS doc_id, l_linenumber AS k, l_returnflag = 'N' AS f FROM li), g AS (SELECT *, sum((NOT f)::INT) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM c) SELECT doc_id, 0 AS page_num, count(*)::BIGINT AS n, string_agg(k::VARCHAR, ',' ORDER BY k) AS regions FROM g WHERE f GROUP BY doc_id, run HAVING count(*) >= 2")
+def win13_runs_of_orders(spark, sf_dir):
+    rows = lines_of_orders(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_num"), F.col("l_linenumber").alias("region_idx"), (F.col("l_linenumber") * 12.0).alias("y0"), F.when(F.col("l_returnflag") == "N", "formula").otherwise("text").alias("class"))
+    return layout.runs_of(rows, "formula").select("doc_id", "page_num", "n", F.array_join(F.transform("regions", lambda x: x.cast("string")), ",").alias("regions"))
+
+
+@query("jon4_uncovered_tiles", f"WITH {_LI} SELECT l_orderkey AS doc_id, l_linenumber::INT AS region_idx FROM li WHERE l_returnflag <> 'R' AND NOT EXISTS (SELECT 1 FROM li b WHERE b.l_orderkey = li.l_orderkey AND b.l_returnflag = 'R' AND abs(b.l_linenumber - li.l_linenumber) = 1)")
+def jon4_uncovered_tiles(spark, sf_dir):
+    """Tiles 120 high, one each 100 points: each covers a sixth of its neighbours."""
+    y = F.col("l_linenumber") * 100.0
+    rows = lines_of_orders(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page_num"), F.col("l_linenumber").alias("region_idx"), F.lit(0.0).alias("x0"), y.alias("y0"), F.lit(100.0).alias("x1"), (y + 120).alias("y1"), "l_returnflag")
+    return layout.uncovered(rows.where("l_returnflag != 'R'").drop("l_returnflag"), rows.where("l_returnflag = 'R'").drop("l_returnflag")).select("doc_id", "region_idx")
+
+
+@query("cls6_class_of_boxes", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'embedded_image' WHEN 1 THEN 'table' WHEN 2 THEN 'formula' ELSE 'text_clean' END AS class FROM part")
+def cls6_class_of_boxes(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, ("image", "table", "formula", "text"))), (F.col("p_partkey") % 4).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("doc_id"), F.lit(0).alias("page_num"), F.col("p_partkey").alias("region_idx"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(10.0).alias("y1"), kind.alias("type"), F.lit("um texto bem comum de linha").alias("text"), F.lit(0.9).alias("confidence"))
+    return layout.classified(rows).select("p_partkey", "class")
