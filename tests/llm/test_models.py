@@ -40,6 +40,46 @@ def test_language_posterior_is_the_formula(spark):
     assert math.isclose(share, 0.5) and math.isclose(found[100].posterior, 0.5) and found[100].language == "de"
 
 
+def fused(rows, languages, strength):
+    """The fusion in plain Python: rows of page_id, declared, suffix, domain, host, text, said."""
+    counts = lambda key, value: [sum(r.said == x and (key is None or r[key] == value) for r in rows) for x in languages]
+    totals, size = counts(None, None), len(languages)
+    n, out = sum(totals), []
+    whole = [(c + 1) / (n + size) for c in totals]
+    drawn = lambda own, above: [(c + strength * p) / (sum(own) + strength) for c, p in zip(own, above)]
+
+    def likelihood(key, value):
+        own = counts(key, value)
+        if value is None or not sum(own):
+            return [0.0] * size
+        share = (sum(own) + 1) / (n + 1)
+        return [math.log((c + strength * share) / (t + strength)) for c, t in zip(own, totals)]
+
+    for r in rows:
+        prior = drawn(counts("host", r.host), drawn(counts("domain", r.domain), whole))
+        sums = [t + math.log(p) + d + s for t, p, d, s in zip(r.text, prior, likelihood("declared", r.declared), likelihood("suffix", r.suffix or None))]
+        weights = [math.exp(x - max(sums)) for x in sums]
+        out.append((r.page_id, r.host, languages[sums.index(max(sums))], 1 / sum(weights)))
+    return out
+
+
+def test_language_fusion_is_that_of_plain_python(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").limit(150)
+    odd = [(9001, None, None), (9002, "http://x.co.uk/a", '<html lang="xx"><p>日本語の文章がここにあります。とても長い文章です。</p>'), (9003, "http://y.co.uk", "<p>the cat and the dog of the house</p>"), (9003, "http://y.co.uk", None), (9004, "nonsense", '<html lang="fr">')]
+    df = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    languages = (*language.LANGUAGES, "other")
+    evidence = language.text_evidence(df, language.trained(df, languages, "other"), languages, 30, "other").collect()
+    want = sorted(fused(evidence, languages, 20.0))
+    got = sorted((r.page_id, r.host, r.language, r.posterior) for r in language.identified(df, other="other").collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(math.isclose(a[3], b[3], rel_tol=1e-9) for a, b in zip(got, want))
+    assert {x[2] for x in got if x[0] == 9002} == {"other"}
+
+
+def test_registered_names():
+    assert [language.domain_of(h) for h in ("a.b.example.co.uk", "www.example.com", "com.br", "x.com.br", "host", "")] == ["example.co.uk", "example.com", "com.br", "x.com.br", "host", ""]
+
+
 def test_trigram_counts_and_restored_words(spark):
     docs = spark.createDataFrame([(1, "stupid idiot moron scum trash pathetic worthless loser man and"), (2, None), (3, "")], "doc_id long, text string")
     counts = toxicity.trigram_counts(docs)

@@ -7,7 +7,8 @@ declared language, by suffix, and by host, domain and whole collection: each lev
 above by `strength` pages, so a host with few pages follows its domain, and that the collection.
 
 A page without text, markup or address goes without that evidence; without any it gets the collection's shares. Languages
-outside the list are declared as none. Repeated rows count and are returned each. Ties go to the language that comes first
+outside the list are declared as none, or as `other` where that is asked for: a language more, whose text is as likely as one whose trigrams are
+all equally frequent, so it is text unlike that of every listed language. Repeated rows count and are returned each. Ties go to the language that comes first
 in the list. An empty table gives no row. Other columns are ignored.
 """
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from textloom.llm.shared import kept, lean
 
 LANGUAGES = ("de", "en", "es", "fr")
+#: Labels before a country's suffix under which names are registered, as in example.co.uk.
+REGISTRIES = {"ac", "co", "com", "edu", "gob", "gouv", "gov", "net", "or", "org"}
 BUCKETS = 1 << 16
 _DECLARED = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
 _META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
@@ -32,10 +35,12 @@ _MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.IGNO
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.IGNORECASE)
 
 
-def declared(page: str, languages: tuple[str, ...]) -> int:
-    """The place of the declared language in the list, -1 for none."""
+def declared(page: str, languages: tuple[str, ...], other: str | None = None) -> int:
+    """The place of the declared language in the list, -1 for none; languages that aren't in it count as `other`, if the list has that."""
     found = _DECLARED.search(page) or _META.search(page)
     name = found[1].lower() if found else ""
+    if name and name not in languages and other:
+        name = other
     return languages.index(name) if name in languages else -1
 
 
@@ -57,8 +62,14 @@ def host_of(url: str | None) -> str:
     return found[1].lower().rstrip(".") if found else ""
 
 
-def trained(pages: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
-    """Log chances of the trigram buckets, a row for each language; the counts are len(languages) * BUCKETS numbers at most."""
+def domain_of(host: str) -> str:
+    """The registered name: the last two labels, or three under a country's registry."""
+    labels = host.split(".")
+    return ".".join(labels[-3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTRIES else -2 :])
+
+
+def trained(pages: DataFrame, languages: tuple[str, ...], other: str | None = None) -> np.ndarray:
+    """Log chances of the trigram buckets, a row for each language, those of `other` all equal; the counts are len(languages) * BUCKETS numbers at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((len(languages), BUCKETS), np.int64)
@@ -74,10 +85,13 @@ def trained(pages: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
         counts[cell] = n
     counts = counts.reshape(len(languages), BUCKETS)
     whole = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * BUCKETS)
-    return np.log((counts + 1000 * whole) / (counts.sum(1, keepdims=True) + 1000))
+    model = np.log((counts + 1000 * whole) / (counts.sum(1, keepdims=True) + 1000))
+    if other:
+        model[languages.index(other)] = -np.log(BUCKETS)
+    return model
 
 
-def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...], reach: int) -> DataFrame:
+def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...], reach: int, other: str | None = None) -> DataFrame:
     """page_id, declared, suffix, domain, host, text (log likelihoods) and said (the text's language, null without text)."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -86,10 +100,10 @@ def text_evidence(pages: DataFrame, model: np.ndarray, languages: tuple[str, ...
             out: list[list] = [[] for _ in range(6)]
             for url, page in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = page.as_py() or ""
-                host, grams, k = host_of(url), trigrams(visible(own)) if own else np.empty(0, np.int64), declared(own, languages)
+                host, grams, k = host_of(url), trigrams(visible(own)) if own else np.empty(0, np.int64), declared(own, languages, other)
                 labels = host.split(".")
                 logs = sent.value[:, grams].sum(1) * min(1.0, reach / max(1, len(grams))) if len(grams) else np.zeros(len(languages))
-                row = (languages[k] if k >= 0 else None, labels[-1], ".".join(labels[-2:]), host, logs - logs.max(), languages[int(logs.argmax())] if len(grams) > 2 else None)
+                row = (languages[k] if k >= 0 else None, labels[-1], domain_of(host), host, logs - logs.max(), languages[int(logs.argmax())] if len(grams) > 2 else None)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string())
@@ -117,9 +131,10 @@ def _drawn(counts: Column, above: Column, strength: float) -> Column:
     return F.coalesce(F.zip_with(counts, above, lambda n, p: (n + strength * p) / total), above)
 
 
-def identified(pages: DataFrame, languages: tuple[str, ...] = LANGUAGES, reach: int = 30, strength: float = 20.0) -> DataFrame:
+def identified(pages: DataFrame, languages: tuple[str, ...] = LANGUAGES, reach: int = 30, strength: float = 20.0, other: str | None = None) -> DataFrame:
     """A row for each page: page_id, language, posterior, text_language, declared_language, host."""
-    found = kept(text_evidence(pages, trained(pages, languages), languages, reach), "languages")
+    languages = (*languages, other) if other else languages
+    found = kept(text_evidence(pages, trained(pages, languages, other), languages, reach, other), "languages")
     size = len(languages)
     first = found.where("said IS NOT NULL").agg(*(F.sum((F.col("said") == x).cast("double")) for x in languages)).first()
     whole = [((n or 0.0) + 1.0) / (sum(x or 0.0 for x in first) + size) for n in first]

@@ -25,7 +25,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identified(table(spark, sf_dir, "pages"), language.LANGUAGES)
+    return language.identified(table(spark, sf_dir, "pages"), language.LANGUAGES, other="other")
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

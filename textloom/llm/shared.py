@@ -87,11 +87,13 @@ def lean(run):
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that setting is absent (tests on one machine), a folder of the driver, set here."""
+    """spark.checkpoint.dir; where that setting is absent and all runs on one machine, a folder of the driver, set here. On a cluster it must be set."""
     bounded_batches(spark)
     top = spark.conf.get("spark.checkpoint.dir", None)
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not given.isDefined():
+        if not top and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(top or "file://" + tempfile.mkdtemp(prefix="textloom-"))
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
     return top or given.get()
