@@ -122,6 +122,118 @@ NAMES = (
     ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike(?: [1234](?: [05])?)?(?: international| unported| generic)?(?: licen[cs]e)?", "creative"),
     ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1234](?: [05])?)?(?: international| unported| generic)?(?: licen[cs]e)?", "creative"),
     ("cc", "creative commons licen[cs]e", "creative"),
+    ("aal", "attribution assurance licen[cs]e", "assurance"),
+    ("afpl", "aladdin free public licen[cs]e", "aladdin"),
+    ("amdplpa", "amd plpa map c licen[cs]e", "plpa"),
+    ("apsl", "apple public source licen[cs]e(?:(?: v| version)? ?[12](?: [012])?)?", "apple"),
+    ("beerware", "beer ?ware licen[cs]e", "beerware"),
+    ("beerware", "beer ware licen[cs]e", "beer"),
+    ("bittorrent", "bittorrent open source licen[cs]e(?:(?: v| version)? ?1(?: [01])?)?", "bittorrent"),
+    ("blueoak", "blue oak model licen[cs]e(?: 1 0 0)?", "oak"),
+    ("bsd-1-clause", "(?:bsd 1 clause|1 clause bsd)(?: licen[cs]e)?", "bsd"),
+    ("bsd-patent", "bsd 2 clause plus patent(?: licen[cs]e)?", "bsd"),
+    ("bsl", "business source licen[cs]e(?:(?: v| version)? ?1(?: [01])?)?", "business"),
+    ("caldera", "caldera licen[cs]e", "caldera"),
+    ("catosl", "computer associates trusted open source licen[cs]e", "trusted"),
+    ("cc-pdm", "creative commons public domain mark(?: 1 0)?", "creative"),
+    ("cdla-permissive", "community data licen[cs]e agreement permissive(?:(?: v| version)? ?[12](?: 0)?)?", "community"),
+    ("cdla-sharing", "community data licen[cs]e agreement sharing(?:(?: v| version)? ?1(?: 0)?)?", "community"),
+    ("cecill", "cecill(?: [bc])?(?: licen[cs]e)?(?:(?: v| version)? ?[12](?: [01])?)?", "cecill"),
+    ("cern-ohl", "cern open hardware licen[cs]e(?:(?: v| version)? ?[12](?: [012])?)?", "cern"),
+    ("cern-ohl", "cern ohl(?: [swp])?(?: [12](?: [012])?)?", "cern"),
+    ("clartistic", "clarified artistic licen[cs]e", "clarified"),
+    ("clear-bsd", "clear bsd licen[cs]e", "clear"),
+    ("commons-clause", "commons clause(?: licen[cs]e)?(?: condition)?(?: v ?1(?: 0)?)?", "commons"),
+    ("cpal", "common public attribution licen[cs]e(?:(?: v| version)? ?1(?: 0)?)?", "attribution"),
+    ("cpol", "code project open licen[cs]e(?: 1 02)?", "project"),
+    ("crossword", "crossword licen[cs]e", "crossword"),
+    ("crystalstacker", "crystalstacker licen[cs]e", "crystalstacker"),
+    ("cua-opl", "cua office public licen[cs]e", "cua"),
+    ("curl", "curl licen[cs]e", "curl"),
+    ("d-fsl", "deutsche freie software lizenz", "lizenz"),
+    ("dco", "developer(?: s)? certificate of origin(?: 1 1)?", "certificate"),
+    ("doc", "doc software licen[cs]e", "doc"),
+    ("ecos", "ecos licen[cs]e(?:(?: v| version)? ?2(?: 0)?)?", "ecos"),
+    ("efl", "eiffel forum licen[cs]e(?:(?: v| version)? ?[12](?: 0)?)?", "eiffel"),
+    ("elastic", "elastic licen[cs]e(?:(?: v| version)? ?2(?: 0)?)?", "elastic"),
+    ("entessa", "entessa public licen[cs]e", "entessa"),
+    ("erlpl", "erlang public licen[cs]e(?:(?: v| version)? ?1(?: 1)?)?", "erlang"),
+    ("eudatagrid", "eu datagrid software licen[cs]e", "datagrid"),
+    ("fair", "fair licen[cs]e", "fair"),
+    ("frameworx", "frameworx open licen[cs]e(?: 1 0)?", "frameworx"),
+    ("freetype", "freetype(?: project)? licen[cs]e", "freetype"),
+    ("fsl", "functional source licen[cs]e", "functional"),
+    ("gemma", "gemma terms of use", "gemma"),
+    ("giftware", "giftware licen[cs]e", "giftware"),
+    ("glide", "3dfx glide licen[cs]e", "3dfx"),
+    ("gsoap", "gsoap public licen[cs]e(?:(?: v| version)? ?1(?: 3)?)?", "gsoap"),
+    ("hippocratic", "hippocratic licen[cs]e(?:(?: v| version)? ?[23](?: [01])?)?", "hippocratic"),
+    ("hpnd", "historical permission notice and disclaimer", "historical"),
+    ("icu", "icu licen[cs]e", "icu"),
+    ("ijg", "independent jpeg group licen[cs]e", "jpeg"),
+    ("imagemagick", "imagemagick licen[cs]e", "imagemagick"),
+    ("info-zip", "info zip licen[cs]e", "info"),
+    ("intel", "intel open source licen[cs]e", "intel"),
+    ("interbase", "interbase public licen[cs]e(?:(?: v| version)? ?1(?: 0)?)?", "interbase"),
+    ("ipa", "ipa font licen[cs]e", "ipa"),
+    ("jasper", "jasper(?: 2 0)? licen[cs]e", "jasper"),
+    ("json", "json licen[cs]e", "json"),
+    ("lal", "licence art libre(?: 1 [23])?", "libre"),
+    ("lal", "free art licen[cs]e(?: 1 [23])?", "art"),
+    ("llama", "llama(?: [234](?: [123])?)? community licen[cs]e(?: agreement)?", "llama"),
+    ("lppl", "latex project public licen[cs]e(?:(?: v| version)? ?1(?: [0123][ac]?)?)?", "latex"),
+    ("lppl", "lppl(?: 1(?: [0123][ac]?)?)?", "lppl"),
+    ("lucent", "lucent public licen[cs]e(?:(?: v| version)? ?1(?: 0[0123456789]?)?)?", "lucent"),
+    ("miros", "miros licen[cs]e", "miros"),
+    ("motosoto", "motosoto open source licen[cs]e", "motosoto"),
+    ("mulan", "mulan(?: permissive)?(?: software| psl)?(?: licen[cs]e)?(?: v ?[12])?", "mulan"),
+    ("multics", "multics licen[cs]e", "multics"),
+    ("nasa", "nasa open source agreement(?: 1 3)?", "nasa"),
+    ("naumen", "naumen public licen[cs]e", "naumen"),
+    ("netcdf", "netcdf licen[cs]e", "netcdf"),
+    ("ngpl", "nethack general public licen[cs]e", "nethack"),
+    ("nlod", "norwegian licen[cs]e for open government data", "norwegian"),
+    ("nokia", "nokia open source licen[cs]e", "nokia"),
+    ("nosl", "netizen open source licen[cs]e", "netizen"),
+    ("npl", "netscape public licen[cs]e(?:(?: v| version)? ?1(?: [01])?)?", "netscape"),
+    ("npol", "non profit open software licen[cs]e(?: 3 0)?", "profit"),
+    ("ntp", "ntp licen[cs]e", "ntp"),
+    ("oclc", "oclc research public licen[cs]e(?: 2 0)?", "oclc"),
+    ("ogl", "open government licen[cs]e(?:(?: v| version)? ?[123](?: 0)?)?", "government"),
+    ("ogtsl", "open group test suite licen[cs]e", "group"),
+    ("oldap", "openldap public licen[cs]e(?:(?: v| version)? ?[12](?: [012345678])?)?", "openldap"),
+    ("oset", "oset public licen[cs]e(?: 2 1)?", "oset"),
+    ("parity", "parity public licen[cs]e(?: [67] 0 0)?", "parity"),
+    ("polyform", "polyform (?:noncommercial|small business|shield|strict|internal use|free trial|perimeter)(?: licen[cs]e)?(?: 1 0 [01])?", "polyform"),
+    ("postgresql", "postgresql licen[cs]e", "postgresql"),
+    ("prosperity", "prosperity public licen[cs]e(?: [23] 0 0)?", "prosperity"),
+    ("qpl", "q public licen[cs]e(?: 1 0)?", "q"),
+    ("realnetworks", "realnetworks public source licen[cs]e(?: 1 0)?", "realnetworks"),
+    ("rpl", "reciprocal public licen[cs]e(?: 1 [15])?", "reciprocal"),
+    ("ricoh", "ricoh source code public licen[cs]e", "ricoh"),
+    ("rsa-md", "rsa message digest licen[cs]e", "rsa"),
+    ("saxpath", "saxpath licen[cs]e", "saxpath"),
+    ("sgi-b", "sgi free software licen[cs]e b(?: [12](?: [01])?)?", "sgi"),
+    ("simpl", "simple public licen[cs]e(?: 2 0)?", "simple"),
+    ("sissl", "sun industry standards source licen[cs]e(?: 1 [12])?", "sun"),
+    ("sleepycat", "sleepycat(?: software)? licen[cs]e", "sleepycat"),
+    ("spl", "sun public licen[cs]e(?: v ?1(?: 0)?)?", "sun"),
+    ("sspl", "server side public licen[cs]e(?:(?: v| version)? ?1)?", "server"),
+    ("sugarcrm", "sugarcrm public licen[cs]e(?: v ?1(?: 1 3)?)?", "sugarcrm"),
+    ("tcl", "tcl tk licen[cs]e", "tcl"),
+    ("ucl", "upstream compatibility licen[cs]e(?: v ?1(?: 0)?)?", "upstream"),
+    ("unicode", "unicode licen[cs]e(?: agreement)?(?: v ?3)?", "unicode"),
+    ("vim", "vim licen[cs]e", "vim"),
+    ("vsl", "vovida software licen[cs]e(?: v ?1(?: 0)?)?", "vovida"),
+    ("watcom", "sybase open watcom public licen[cs]e(?: 1 0)?", "watcom"),
+    ("wxwindows", "wxwindows library licen[cs]e(?: 3 1)?", "wxwindows"),
+    ("xerox", "xerox licen[cs]e", "xerox"),
+    ("xfree86", "xfree86 licen[cs]e(?: 1 1)?", "xfree86"),
+    ("xnet", "x net licen[cs]e", "net"),
+    ("ypl", "yahoo public licen[cs]e(?: v ?1(?: [01])?)?", "yahoo"),
+    ("zend", "zend licen[cs]e(?: v ?2(?: 0)?)?", "zend"),
+    ("zimbra", "zimbra public licen[cs]e(?: v ?1(?: [34])?)?", "zimbra"),
+    ("zpl", "zope public licen[cs]e(?:(?: v| version)? ?[12](?: [01])?)?", "zope"),
 )
 
 #: Wording around a name, by rising rank: the name alone, a grant under it, an SPDX tag. {} is the name.
@@ -145,6 +257,25 @@ NOTICES = (
     ("gpl", "this program is free software you can redistribute it and or modify it", "redistribute", 2),
     ("apache-2.0", "you may not use this file except in compliance with the license", "compliance", 3),
     ("cc", "some rights reserved", "rights", 1),
+    ("gpl", "see the gnu general public license for more details", "gnu", 2),
+    ("gpl", "you should have received a copy of the gnu general public license", "gnu", 2),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license", "gnu", 3),
+    ("agpl-3.0", "you should have received a copy of the gnu affero general public license", "affero", 3),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial", 3),
+    ("warranty", "the software is provided as is without warranty of any kind", "warranty", 1),
+    ("warranty", "this software is provided by the copyright holders and contributors as is", "contributors", 1),
+    ("bsd-3-clause", "neither the name of (?:the )?(?:copyright holder|author|organization|university|company) nor the names of its contributors", "neither", 3),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", "advertising", 3),
+    ("apache-2.0", "distributed on an as is basis without warranties or conditions of any kind", "conditions", 2),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", 3),
+    ("zlib", "altered source versions must be plainly marked as such", "altered", 3),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license", "mozilla", 3),
+    ("cc0", "waive all copyright and related or neighboring rights", "waive", 3),
+    ("non-commercial", "for non commercial (?:use|purposes) only", "commercial", 1),
+    ("no-ai", "may not be used (?:to train|for training) (?:machine learning|artificial intelligence|ai|language) models", "models", 2),
+    ("permission-required", "(?:no part of this|this) (?:publication|book|work|material) may (?:not )?be reproduced", "reproduced", 1),
+    ("proprietary", "(?:strictly )?confidential and proprietary", "confidential", 1),
+    ("proprietary", "licensed material property of", "property", 1),
 )
 
 #: How sure a detection of each rank makes that the text states a license.
