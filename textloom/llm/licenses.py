@@ -126,7 +126,7 @@ NAMES = (
     ("afpl", "aladdin free public licen[cs]e", "aladdin"),
     ("amdplpa", "amd plpa map c licen[cs]e", "plpa"),
     ("apsl", "apple public source licen[cs]e(?:(?: v| version)? ?[12](?: [012])?)?", "apple"),
-    ("beerware", "beer ?ware licen[cs]e", "beerware"),
+    ("beerware", "beerware licen[cs]e", "beerware"),
     ("beerware", "beer ware licen[cs]e", "beer"),
     ("bittorrent", "bittorrent open source licen[cs]e(?:(?: v| version)? ?1(?: [01])?)?", "bittorrent"),
     ("blueoak", "blue oak model licen[cs]e(?: 1 0 0)?", "oak"),
@@ -138,7 +138,7 @@ NAMES = (
     ("cc-pdm", "creative commons public domain mark(?: 1 0)?", "creative"),
     ("cdla-permissive", "community data licen[cs]e agreement permissive(?:(?: v| version)? ?[12](?: 0)?)?", "community"),
     ("cdla-sharing", "community data licen[cs]e agreement sharing(?:(?: v| version)? ?1(?: 0)?)?", "community"),
-    ("cecill", "cecill(?: [bc])?(?: licen[cs]e)?(?:(?: v| version)? ?[12](?: [01])?)?", "cecill"),
+    ("cecill", "cecill(?: [bc])?(?: licen[cs]e)?(?:(?: v ?| version ?| )[12](?: [01])?)?", "cecill"),
     ("cern-ohl", "cern open hardware licen[cs]e(?:(?: v| version)? ?[12](?: [012])?)?", "cern"),
     ("cern-ohl", "cern ohl(?: [swp])?(?: [12](?: [012])?)?", "cern"),
     ("clartistic", "clarified artistic licen[cs]e", "clarified"),
