@@ -104,7 +104,8 @@ def test_problems_of_documents(spark):
     same = "uma frase bastante longa que se repete no documento inteiro duas vezes"
     rows = [(1, 1, "paragraph", same, None, None, None), (1, 2, "paragraph", same + ".", None, None, None), (1, 3, "image", None, False, " ", None), (2, 1, "paragraph", "curto", None, None, None), (2, 2, "image", None, True, None, None), (2, 3, "image", None, None, None, "foto de um gato")]
     df = spark.createDataFrame(rows, "doc_id long, ord int, type string, text string, decorative boolean, alt_text string, long_description string")
-    found = coherence.problems(df)
+    assert {(r.doc_id, r.check, r.ord) for r in coherence.problems(df.withColumn("page_number", 4 - F.col("ord"))).collect()} >= {(1, "ordem_de_leitura", 2), (2, "ordem_de_leitura", 2)}
+    found = coherence.problems(df.withColumn("page_number", F.lit(1)))
     assert {(r.doc_id, r.check, r.ord) for r in found.collect()} == {(1, "repeticao", 2), (1, "imagem_perdida", 3)}
     words = spark.createDataFrame([(1, 30, 5), (2, 3, 0)], "doc_id long, out_words long, source_words long")
     assert {r.doc_id: (r.errors, r.warnings, r.ratio, r.coherent) for r in coherence.coherence(found, words).collect()} == {1: (1, 2, 6.0, False), 2: (0, 0, 0.0, True)}

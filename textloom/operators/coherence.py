@@ -51,12 +51,12 @@ def lost_images(blocks: DataFrame) -> DataFrame:
 
 
 def problems(blocks: DataFrame) -> DataFrame:
-    """doc_id, check, severity, ord of a document's blocks: repeats, layout told, broken order, lost images. Blocks: doc_id, ord, type, text, decorative, alt_text, long_description."""
+    """doc_id, check, severity, ord of a document's blocks: repeats, layout told, broken order, lost images. Blocks: doc_id, ord, page_number, type, text, decorative, alt_text, long_description."""
     told = blocks.where(~F.col("type").isin(*OUTSIDE_TEXT)).withColumn("text", F.coalesce("text", F.lit("")))
     kinds = {
         ("repeticao", "WARNING"): B.repeats(told, "ord").select("doc_id", "ord"),
         ("narracao_de_layout", "WARNING"): told.where(T.layout_phrases(F.col("text")) >= 2).select("doc_id", "ord"),
-        ("ordem_de_leitura", "ERROR"): B.broken_order(told, "ord").select("doc_id", "ord"),
+        ("ordem_de_leitura", "ERROR"): B.broken_order(told, "ord", "page_number").select("doc_id", "ord"),
         ("imagem_perdida", "ERROR"): lost_images(blocks),
     }
     return reduce(DataFrame.unionByName, (rows.select("doc_id", F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.col("ord").cast("long").alias("ord")) for (check, severity), rows in kinds.items()))
