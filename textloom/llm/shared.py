@@ -117,6 +117,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """kept, with the folder, for a caller that drops it as soon as what was made of it is written too."""
+    made = kept(df, name)
+    return made, _made[-1][1]
+
+
 def held(df: DataFrame) -> DataFrame:
     """df, computed once for its next few uses; the caller unpersists it. What a lost executor held is computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
