@@ -98,3 +98,9 @@ def lost_terms(origin: Column, output: Column) -> Column:
     had, has = terms(origin), terms(output)
     more = F.transform(F.array_sort(F.array_distinct(had)), lambda t: F.struct(t.alias("term"), (count(had, t) - count(has, t)).alias("more")))
     return F.filter(more, lambda m: m["more"] > 0)
+
+
+def completed(text: Column, neighbours: Column, most: int = 3) -> Column:
+    """expanded, and the status that follows: draft if it became plausible, else needs_review."""
+    wide = expanded(text, neighbours, most)
+    return F.struct(wide["text"].alias("text"), wide["used"].alias("used"), F.when(wide["plausible"], "draft").otherwise("needs_review").alias("status"))

@@ -196,3 +196,46 @@ def rates(trails: DataFrame) -> DataFrame:
         rate(has(SPEECH_CHECKS)).alias("speech_validation_failure_rate"), rate(has(RENDERER_CHECKS)).alias("renderer_regression_rate"), rate(F.col("review_status").isin("draft", "needs_review")).alias("human_review_rate"),
     )
     return figures.join(F.broadcast(apart))  # a row each
+
+
+# ---- speech and audits ----
+
+#: What speech says of operators and numbers.
+SPOKEN_OPERATORS = {
+    "=": ("igual a",), ">=": ("maior ou igual",), "<=": ("menor ou igual",), "!=": ("diferente de",), ">": ("maior que",), "<": ("menor que",), "^": ("ao quadrado", "ao cubo", "elevado a"),
+    "√": ("raiz quadrada",), "±": ("mais ou menos",), "/": ("sobre", "fracao", "dividido por", "numerador"), "+": ("mais",), "-": ("menos",),
+}
+SPOKEN_NUMBERS = {
+    "0": "zero", "1": "um", "2": "dois", "3": "tres", "4": "quatro", "5": "cinco", "6": "seis", "7": "sete", "8": "oito", "9": "nove", "10": "dez", "11": "onze", "12": "doze",
+    "13": "treze", "14": "quatorze", "15": "quinze", "20": "vinte", "30": "trinta", "100": "cem",
+}
+LETTER_A = r"vezes a\b|de a\b|coeficiente a\b|\ba vezes\b|\ba ao\b"
+UNCERTAIN = "[verificacao incerta]"
+
+
+def speech_signature(speech: Column) -> Column:
+    """Struct of symbols, numbers and operators that a formula's speech names, each sorted; a, e and o are words unless said as factors."""
+    said = T.folded(F.coalesce(speech, F.lit("")))
+    words = F.split(said, "[^a-z0-9]+")
+    letters = F.filter(words, lambda w: w.rlike("^[a-z]$") & ~w.isin("a", "e", "o"))
+    symbols = F.concat(letters, F.when(said.rlike(LETTER_A), F.array(F.lit("a"))).otherwise(F.array().cast("array<string>")))
+    named = F.array_compact(F.array(*(F.when(F.array_contains(words, word), digit) for digit, word in SPOKEN_NUMBERS.items()), F.when(F.contains(said, F.lit("ao quadrado")), "2"), F.when(F.contains(said, F.lit("ao cubo")), "3")))
+    operators = F.array_compact(F.array(*(F.when(_any_in(said, phrases), sign) for sign, phrases in SPOKEN_OPERATORS.items())))
+    in_order = lambda c: F.array_sort(F.array_distinct(c))
+    return F.struct(in_order(symbols).alias("symbols"), in_order(F.concat(named, F.filter(words, lambda w: w.rlike("^[0-9]+$")))).alias("numbers"), in_order(operators).alias("operators"))
+
+
+def formula_audit(lost: Column, mathml_problems: Column, latex: Column, reading: Column) -> Column:
+    """Struct of approved and problems: lost terms, what is wrong in the MathML, and structures that the reading doesn't name."""
+    named = lambda kind, c: F.transform(c, lambda x: F.concat(F.lit(kind + ":"), x))
+    found = F.concat(named("perdido", lost), named("mathml", mathml_problems), named("leitura", unspoken_structures(latex, reading)))
+    return F.struct((F.size(found) == 0).alias("approved"), found.alias("problems"))
+
+
+def described(description: Column) -> Column:
+    """A description without outer brackets and forbidden beginnings; the mark of doubt stays in front."""
+    text = F.trim(F.coalesce(description, F.lit("")))
+    doubt = text.startswith(UNCERTAIN)
+    body = F.when(doubt, F.ltrim(F.substring(text, len(UNCERTAIN) + 1, 1 << 30))).otherwise(text)
+    clean = T.without_forbidden_start(T.without_outer_brackets(body))
+    return F.when(text == "", description).when(doubt, F.concat(F.lit(UNCERTAIN + " "), clean)).otherwise(clean)

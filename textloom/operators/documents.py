@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import formulas
+from textloom.operators import context, formulas
 from textloom.sources import render
 
 # ---- fixed values ----
@@ -220,3 +220,37 @@ def zipped(paths: list[str], target: str) -> str | None:
         for path in there:
             archive.write(path, arcname=path.name)
     return target
+
+
+# ---- blocks between marks ----
+
+BEGIN_MARK, END_MARK = r"(?iu)^in[íi]cio de (.+):$", r"(?iu)^fim de (.+)$"
+MARKED_TYPES = {"lista": "list", "código-fonte": "code", "codigo-fonte": "code", "imagem": "image", "fórmula": "formula", "formula": "formula"}
+
+
+def marker_blocks(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no (of the mark), type, name, text, items: what stands between "Início de X:" and "Fim de X" (or the next beginning, or the end). lines: doc_id, line_no, line.
+
+    A begin opens an island of all lines after it; the first end of its own name closes it. Other names are callouts.
+    """
+    w = W.partitionBy("doc_id").orderBy("line_no")
+    begins = F.regexp_extract("line", BEGIN_MARK, 1)
+    marked = lines.withColumn("name", F.when(begins != "", F.lower(begins))).withColumn("island", F.count("name").over(w))
+    inside = marked.where("island > 0").withColumn("own", F.first("name", ignorenulls=True).over(W.partitionBy("doc_id", "island").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    ended = F.max((F.lower(F.regexp_extract("line", END_MARK, 1)) == F.col("own")).cast("int")).over(W.partitionBy("doc_id", "island").orderBy("line_no"))
+    kept = inside.withColumn("ended", ended).where("ended = 0")
+    content = F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNull(), F.struct("line_no", "line")))), lambda x: x["line"])
+    made = kept.groupBy("doc_id", "island").agg(F.min("line_no").alias("line_no"), F.min("own").alias("name"), content.alias("content"))
+    kinds = F.create_map(*(F.lit(x) for kv in MARKED_TYPES.items() for x in kv))
+    kind = F.coalesce(F.element_at(kinds, F.replace("name", F.lit(" "), F.lit("-"))), F.lit("callout"))
+    items = F.transform("content", lambda c: T.block_text(F.regexp_replace(c, r"^[-*+]\s+", ""), F.lit("paragraph")))
+    return made.withColumn("type", kind).select("doc_id", "line_no", "type", "name", F.when(F.col("type") != "list", F.array_join("content", "\n")).alias("text"), F.when(F.col("type") == "list", items).alias("items"))
+
+
+def processed_cells(tables: DataFrame, key: str, rows: str = "rows") -> DataFrame:
+    """key, row, col, cell, maths (has it a formula?), context (headings and the row's other cells): every cell with what stands around it."""
+    cells = tables.select(key, F.get(rows, F.lit(0)).alias("headings"), F.posexplode(rows).alias("row", "cells")).select(key, "headings", "row", "cells", F.posexplode("cells").alias("col", "cell"))
+    others = F.expr("filter(transform(cells, (c, i) -> IF(i = col, CAST(NULL AS STRING), c)), c -> c IS NOT NULL)")
+    around = cells.select(key, "row", "col", "cell", context.row_context(F.col("headings"), others).alias("context"))
+    maths = maths_cells(tables, key, rows).withColumn("maths", F.lit(True))
+    return around.join(maths, [key, "row", "col"], "left").withColumn("maths", F.coalesce("maths", F.lit(False)))

@@ -681,3 +681,53 @@ def cls6_class_of_boxes(spark, sf_dir):
     kind = F.get(F.array(*map(F.lit, ("image", "table", "formula", "text"))), (F.col("p_partkey") % 4).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lit(1).alias("doc_id"), F.lit(0).alias("page_num"), F.col("p_partkey").alias("region_idx"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(60.0).alias("x1"), F.lit(10.0).alias("y1"), kind.alias("type"), F.lit("um texto bem comum de linha").alias("text"), F.lit(0.9).alias("confidence"))
     return layout.classified(rows).select("p_partkey", "class")
+
+
+# ---- completed, audited and marked ----
+
+
+@query("exp7_completed", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '(x + ' || p_size || ' ) = 0' WHEN 1 THEN 'x = ' || p_size ELSE '((x' END AS text, CASE p_partkey % 3 WHEN 2 THEN 'needs_review' ELSE 'draft' END AS status FROM part")
+def exp7_completed(spark, sf_dir):
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("(x + "), n)).when(k == 1, F.concat(F.lit("x = "), n)).otherwise("((x")
+    after = F.when(k == 0, F.array(F.lit(") = 0"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf_dir, "part").select("p_partkey", maths.completed(text, after).alias("c")).select("p_partkey", "c.text", "c.status")
+
+
+@query("txt15_marker_blocks", """WITH b AS (SELECT p_partkey, p_name, p_type FROM part)
+SELECT p_partkey AS doc_id, 1 AS line_no, 'list' AS type, p_name || '|b' AS content FROM b UNION ALL SELECT p_partkey, 6, 'code', 'x = 1' || chr(10) || p_type FROM b UNION ALL SELECT p_partkey, 10, 'callout', 'fica aberto' FROM b""")
+def txt15_marker_blocks(spark, sf_dir):
+    text = F.concat(F.lit("antes\nInício de lista:\n- "), "p_name", F.lit("\n* b\nFim de lista\nentre\nInício de código-fonte:\nx = 1\n"), "p_type", F.lit("\nFim de código-fonte\nInicio de dica:\nfica aberto"))
+    docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    made = D.marker_blocks(blocks.lines_of(docs))
+    return made.select("doc_id", "line_no", "type", F.coalesce("text", F.array_join("items", "|")).alias("content"))
+
+
+@query("val23_speech_signatures", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'b,x' ELSE 'a,y' END AS symbols, CASE p_partkey % 2 WHEN 0 THEN '2,5' ELSE '10' END AS numbers, CASE p_partkey % 2 WHEN 0 THEN '+,=,^' ELSE '-,/,√' END AS operators FROM part")
+def val23_speech_signatures(spark, sf_dir):
+    said = F.when(F.col("p_partkey") % 2 == 0, "x ao quadrado, mais b é igual a cinco").otherwise("raiz quadrada de a sobre y menos dez")
+    told = table(spark, sf_dir, "part").select("p_partkey", coherence.speech_signature(said).alias("s"))
+    return told.select("p_partkey", *(F.array_join(f"s.{n}", ",").alias(n) for n in ("symbols", "numbers", "operators")))
+
+
+@query("val34_formula_audits", "SELECT p_partkey, p_partkey % 3 = 0 AS approved, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'perdido:y' ELSE 'mathml:raiz,leitura:sqrt' END AS problems FROM part")
+def val34_formula_audits(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    none = F.array().cast("array<string>")
+    audit = coherence.formula_audit(F.when(k == 1, F.array(F.lit("y"))).otherwise(none), F.when(k == 2, F.array(F.lit("raiz"))).otherwise(none), F.lit(r"\sqrt{x}"), F.when(k == 2, "x").otherwise("raiz quadrada de x"))
+    return table(spark, sf_dir, "part").select("p_partkey", audit.alias("a")).select("p_partkey", "a.approved", F.array_join("a.problems", ",").alias("problems"))
+
+
+@query("txt32_descriptions", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '[verificacao incerta] ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) WHEN 1 THEN upper(substr(p_name, 1, 1)) || substr(p_name, 2) ELSE '' END AS said FROM part")
+def txt32_descriptions(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    text = F.when(k == 0, F.concat(F.lit("[verificacao incerta] A imagem mostra "), "p_name")).when(k == 1, F.concat(F.lit("["), "p_name", F.lit("]"))).otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", coherence.described(text).alias("said"))
+
+
+@query("exp54_processed_cells", f"WITH {_LI}, h AS (SELECT l_orderkey, l_linenumber AS row, l_returnflag AS flag, CASE WHEN l_quantity > 25 THEN 'x = 2' ELSE 'palavra' END AS cell FROM li) SELECT l_orderkey, row, 1 AS col, cell, 'marca · nota · ' || flag AS context, cell = 'x = 2' AS maths FROM h UNION ALL SELECT l_orderkey, row, 0, flag, 'marca · nota · ' || cell, false FROM h")
+def exp54_processed_cells(spark, sf_dir):
+    line = F.array(F.col("l_returnflag"), F.when(F.col("l_quantity") > 25, "x = 2").otherwise("palavra"))
+    rows = F.concat(F.array(F.array(F.lit("marca"), F.lit("nota"))), F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("r")))), lambda x: x["r"]))
+    tables_ = lines_of_orders(spark, sf_dir).groupBy("l_orderkey").agg(rows.alias("rows"))
+    return D.processed_cells(tables_, "l_orderkey").where("row > 0").select("l_orderkey", "row", "col", "cell", "context", "maths")
