@@ -3,9 +3,12 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.operators import blocks, formulas, layout, reports, validators
+from textloom.plans import catalog
 from textloom.sources import files, render, store
 from textloom.streaming import intake
 
+SF = "/root/testdata/sf0.001"
+
 
 def boxes(spark, rows):
     return spark.createDataFrame([(1, 0, k, *map(float, b), "text", "x", 1.0) for k, b in enumerate(rows)], "doc_id long, page_num int, region_idx int, x0 double, y0 double, x1 double, y1 double, type string, text string, confidence double")
@@ -147,3 +150,20 @@ def test_ledger(spark):
     assert [r.object for r in validators.of_profile(rows, "txt").collect()] == ["1:1"]
     a, b = spark.createDataFrame([(1, "x  y"), (2, "z")], "doc_id int, t string"), spark.createDataFrame([(1, "x y"), (3, "w")], "doc_id int, t string")
     assert {r.object for r in validators.equal_outputs(a, b, "t").collect()} == {"2", "3"}
+
+
+def test_ledger_reads_a_record_once(spark):
+    sources = [(1, "x² = \\frac{1}{2}"), (2, "(x = 3"), (3, "(x = 3"), (4, None)]
+    records = formulas.processed(spark.createDataFrame(sources, "k int, source string"), "source").select("k", "source", "formula.*")
+    broken = records.withColumns({"mathml": F.lit("<mn>1</mn>"), "speech": F.lit("x plus ²")})
+    apart = validators.union([of(broken, "k") for of in (validators.of_formulas, validators.of_serialisations, validators.of_speech)])
+    assert sorted(map(tuple, validators.of_records(broken, "k").collect())) == sorted(map(tuple, apart.collect()))
+    levels = [("heading", None), ("heading", 3), ("paragraph", None), ("heading", 5), ("heading", 6), ("code", None)]
+    rows = spark.createDataFrame([(1, k, t, n, "x", None, None) for k, (t, n) in enumerate(levels)], "doc_id int, ord int, type string, level int, text string, item string, rows array<array<string>>")
+    skipped = {(r.object, r.evidence) for r in validators.of_blocks(rows).where("check = 'niveis'").collect()}
+    assert skipped == {(f"1:{r.ord}", f"{r.previous} > {r.level}") for r in blocks.skipped_levels(rows.where("type = 'heading'")).collect()} == {("1:3", "3 > 5")}
+
+
+def test_issue_ledger_makes_its_inputs_once(spark):
+    plan = catalog.val14_issue_ledger(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("documents.parquet") == 1, plan

@@ -23,7 +23,10 @@ def processed(rows: DataFrame, column: str, mode: str = "estrutural") -> DataFra
     """rows with the record of the formula in `column`; null where that is null."""
 
     read = _reader(mode)
-    different = rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn("formula", read(column))
+    sources = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    # sources are short, but each takes long: without a number of partitions a few tasks would read them all
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    different = sources.repartition(parts, column).withColumn("formula", read(column))
     return rows.join(different, column, "left")
 
 

@@ -538,8 +538,11 @@ def str1_counts_by_hour(spark, sf_dir):
 
 @query("val14_issue_ledger")
 def val14_issue_ledger(spark, sf_dir):
-    records = exp42_formulas(spark, sf_dir)
-    parts = [validators.of_formulas(records, "expr_id"), validators.of_serialisations(records, "expr_id"), validators.of_speech(records, "expr_id"), validators.of_blocks(blocks.parsed(documents(spark, sf_dir)))]
+    sources = equations(spark, sf_dir)
+    records = formulas.processed(sources.select("source").where("source IS NOT NULL").distinct(), "source").select("source", "formula.*")
+    # what is wrong with a source is wrong with each formula that has it
+    found = sources.join(validators.of_records(records, "source").withColumnRenamed("object", "source"), "source")
+    parts = [found.select(F.col("expr_id").cast("string").alias("object"), "check", "severity", "evidence"), validators.of_blocks(blocks.parsed(documents(spark, sf_dir)))]
     return validators.union(parts).groupBy("check", "severity").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("object").alias("objects"))
 
 
