@@ -163,6 +163,23 @@ def test_common_lines_shorter_than_a_passage_lose_no_passage(spark):
     assert {r.doc_id for r in substring.repeated_passages(df).collect()} == set(brute.repeats(docs))
 
 
+def test_edited_passages_in_a_large_group_are_found(spark):
+    """Each two documents have one long line; 40 pairs also have an edited passage around it that the smallest document hasn't."""
+    line = text(42)
+    docs = [(0, text(60) + line + text(60))]
+    for k in range(40):
+        before, after = text(40), text(40)
+        docs += [(2 * k + 1, text(20) + before + line + after + text(20)), (2 * k + 2, text(20) + before + edited(line, 1) + after + text(20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string").repartition(3)
+    rows = [(i, i % 2, substring.hashed([x.encode() for x in w]).tobytes()) for i, w in docs]
+    want = {(2 * k + 1, 2 * k + 2) for k in range(40)}
+    within = {p for part in (0, 1) for p in substring.partners([r for r in rows if r[1] == part], part, part, 50, 0.8)}
+    assert within | set(substring.partners(rows, 0, 1, 50, 0.8)) == want
+    # one group of all: the same pairs through Spark, dealt into parts of 7
+    many = spark.createDataFrame([(5, i, 0, len(w) - 49, 12) for i, w in docs], "key long, doc_id long, start int, end int, parts int")
+    assert {tuple(r) for r in substring.met_in_parts(many, df, 50, 0.8).collect()} == want
+
+
 def test_longer_passages_around_one_of_the_smallest_document_are_found(spark):
     docs = []
     for _ in range(40):
