@@ -1,9 +1,9 @@
 """Exact ids of a `tokenizers` file, with the work of repeated words done once.
 
 Where every rule of the file works between white space (a split pattern that matches none, normalisers of single characters or
-of marks that follow one), the ids of a text are those of its chunks between ASCII white space. A chunk of ASCII alone, where letters, digits
-and cases leave no room for doubt, is split into pieces here; each different piece and each different other chunk is encoded by the library with
-all its rules, and its ids are kept. A byte-level file that splits by the library's own pattern, whose pieces hold
+of marks that follow one), the ids of a text are those of its chunks between ASCII white space. A chunk of ASCII alone or of Latin letters, where letters, digits
+and cases leave no room for doubt, is split into pieces here; each different piece goes to the library's model, of whose rules only the merges are
+left to apply, each different other chunk is encoded by the library with all its rules, and its ids are kept. A byte-level file that splits by the library's own pattern, whose pieces hold
 white space, and whose merges stand in the order of their ids, is the same thing as a table of ranks; tiktoken's core then
 merges by it, and the first texts of each worker are held against the library, which does all of the work if they
 differ. There, texts with characters beyond U+07FF, with rare white space, or holding the string of an added token go through the library whole, as do all texts of
@@ -26,6 +26,9 @@ from tokenizers import Tokenizer
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond U+07FF, and white space of which the two libraries could differ.
 _RARE = re.compile("[^\x00-߿]|[\x1c-\x1f\x85\xa0]")
+#: A pattern that takes a word of letters whole, and what stands after it; and such words of letters that normalisers only lower-case.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([.,;:!?]*)")
 #: Texts of each encoder that both libraries encode.
 HELD_AGAINST = 20
 
@@ -55,19 +58,20 @@ class _Kept(dict):
 class TextEncoder:
     """encode(text) gives the ids of `Tokenizer.encode(text, add_special_tokens=False)`, as an array of `dtype`."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        self.path, self._whole = path, None
+        self.path, self._whole, self._model = path, None, None
         self.size = max(max(rules["model"]["vocab"].values()), *(t["id"] for t in rules["added_tokens"]), 0) + 1
         self.dtype, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         added = [t["content"] for t in rules["added_tokens"]]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.in_chunks = self._in_chunks(rules)
         self.core, self.left = (self._ranks(rules["model"], set(added)) if self._own_pattern(rules) else None), HELD_AGAINST
-        self.pieces, self.chunks = _Kept(self._by_library, most // 2), _Kept(self._chunk, most)
+        self.pieces, self.chunks = _Kept(self._piece, most // 2), _Kept(self._chunk, most)
         self.lower = "Lowercase" in str(rules["normalizer"])
         self.pattern = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]) if self.in_chunks else None
+        self.words, self.letters = self.in_chunks and self.pattern.pattern == WORD_PATTERN, byte_letters()
 
     @property
     def whole(self) -> Tokenizer:
@@ -112,10 +116,24 @@ class TextEncoder:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
+    def _piece(self, piece: str) -> bytes:
+        """Of printable ASCII or of letters that _WORD takes, lower-cased: only merges are left to apply."""
+        if not piece.isprintable():
+            return self._by_library(piece)
+        if self._model is None:
+            self._model = self.whole.model
+        ids = [t.id for t in self._model.tokenize(piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode())))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.words and (m := _WORD.fullmatch(text)):
+            word, after = m.groups()
+            ids = self.pieces[word.lower() if self.lower else word]
+            return ids + self.pieces[after] if after else ids
         if not chunk.isascii():
-            return self._by_library(chunk.decode())
-        parts = self.pattern.findall((chunk.lower() if self.lower else chunk).decode())
+            return self._by_library(text)
+        parts = self.pattern.findall(text.lower() if self.lower else text)
         return self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
 
     def encode(self, text: str | None) -> np.ndarray:
