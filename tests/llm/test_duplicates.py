@@ -1,4 +1,5 @@
 import random
+import time
 
 from tests.llm import brute
 from textloom.llm import components, jaccard_join, substring
@@ -191,6 +192,23 @@ def test_longer_passages_around_one_of_the_smallest_document_are_found(spark):
     assert [] == [doc for doc, hit in brute.repeats(docs).items() if not hit <= found.get(doc, set())]
 
 
+def test_files_of_shuffles_go_between_the_steps(spark, monkeypatch):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    drop, seen = substring.drop_shuffles, []
+
+    def watched(session):
+        before = files()
+        drop(session)
+        until = time.time() + 10
+        while files() >= before and time.time() < until:
+            time.sleep(0.1)
+        seen.append((before, files()))
+
+    monkeypatch.setattr(substring, "drop_shuffles", watched)
+    substring.repeated_passages(spark.createDataFrame(passages(), "doc_id long, text string").repartition(3))
+    assert len(seen) == 1 and all(after < before for before, after in seen), seen
+
+
 def test_passages_of_odd_tables(spark):
     assert substring.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     w = " ".join(text(80))
