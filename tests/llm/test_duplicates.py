@@ -1,8 +1,12 @@
+import gc
 import random
 import time
+from pathlib import Path
+
+from pyspark.sql import functions as F
 
 from tests.llm import brute
-from textloom.llm import components, jaccard_join, substring
+from textloom.llm import components, jaccard_join, shared, substring
 from textloom.llm.shingles import ngrams
 
 random = random.Random(7)
@@ -209,6 +213,42 @@ def test_files_of_shuffles_go_between_the_steps(spark, monkeypatch):
     assert len(seen) == 1 and all(after < before for before, after in seen), seen
 
 
+def tables_left(spark, made):
+    """Names of the tables that are in the work folder after made(), and weren't before."""
+    top = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(top.glob("textloom-*"))
+    made()
+    return {p.name.split("-")[1] for p in set(top.glob("textloom-*")) - before}
+
+
+def test_only_results_stay_on_disk(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 4)
+    monkeypatch.setattr(jaccard_join, "PART", 8)
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
+    assert tables_left(spark, lambda: jaccard_join.near_duplicates(df)) == {"classes"}
+    df = spark.createDataFrame(passages(), "doc_id long, text string").repartition(3)
+    assert tables_left(spark, lambda: substring.repeated_passages(df)) == {"repeats"}
+
+
+def test_shuffles_of_dropped_frames_go_though_python_has_not_collected(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    shared.drop_shuffles(spark)
+    time.sleep(1)
+    gc.disable()
+    try:
+        before = files()
+        spark.range(1000).groupBy((F.col("id") % 50).alias("key")).count().where("count > 0").checkpoint()
+        spark.range(3).count()
+        assert files() > before
+        shared.drop_shuffles(spark)
+        until = time.time() + 10
+        while files() > before and time.time() < until:
+            time.sleep(0.1)
+        assert files() <= before
+    finally:
+        gc.enable()
+
+
 def test_passages_of_odd_tables(spark):
     assert substring.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     w = " ".join(text(80))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.shared import BROADCAST_KEYS, file_system, held, kept, lean, only_keys, texts_of, words_of, work_folder
+from textloom.llm.shared import BROADCAST_KEYS, drop_folder, file_system, held, lean, only_keys, texts_of, words_of, work_folder, written
 from textloom.llm.shingles import hashed, jaccard, mixed, ngrams
 
 SMALL = 32
@@ -320,6 +320,7 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> tu
         folder = work_folder(texts.sparkSession, "parts")
         inner = within_parts(many, texts, words, n, threshold, folder).checkpoint()
         outer = between_parts(inner.where("file IS NOT NULL").select("bucket", "part", "file", "n"), threshold, folder).checkpoint()
+        drop_folder(texts.sparkSession, folder)
         large = inner.unionByName(outer).where("file IS NULL")
         ends = ends.unionByName(large.where("b IS NULL").select(F.col("a").alias("id"), "n"))
         found = found.unionByName(large.where("b IS NOT NULL").select("a", "b"))
@@ -330,15 +331,18 @@ def links_of(texts: DataFrame, words: DataFrame, n: int, threshold: float) -> tu
 def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """A row for each document: doc_id, class_id (the smallest doc_id that links lead to), n_links (of its text)."""
     bands, rows = bands_for(threshold, recall)
-    signed = kept(signatures(docs, n, bands, rows), "signatures")
+    signed, signed_folder = written(signatures(docs, n, bands, rows), "signatures")
     named = signed.where("doc_id IS NOT NULL")
-    texts = kept(named.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
+    texts, texts_folder = written(named.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands")), "texts")
     ends, links = links_of(texts, named.where("key IS NOT NULL").select(F.col("doc_id").alias("id"), "key", "words"), n, threshold)
     labels = components(links).withColumnRenamed("node", "id")
     classes = texts.select("key", "id").join(ends, "id", "left").join(labels, "id", "left").select("key", F.coalesce("label", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows_of = named.select("doc_id", "key").join(classes, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     nameless = signed.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")).unionByName(nameless)
+    found, _ = written(rows_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links")).unionByName(nameless), "classes")
+    for folder in (signed_folder, texts_folder):  # what was made of them is written
+        drop_folder(docs.sparkSession, folder)
+    return found
 
 
 def first_of_class(docs: DataFrame, **options) -> DataFrame:
